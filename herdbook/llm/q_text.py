@@ -1,4 +1,4 @@
-"""Queries on texts: one form (p10)."""
+"""Queries on texts: packing (p8), mixing (p9), one form (p10)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdbook.llm.lookalike import one_form, same_looking_pairs
+from herdbook.llm.mixing import mix, mix_report
+from herdbook.llm.packing import pack, space_left
+from herdbook.llm.tokens import n_tokens
 from herdbook.runtime import table
 
 
@@ -18,5 +21,25 @@ def p10_form(spark: SparkSession, folder: str) -> DataFrame:
     return one_form(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found, "p10_form": p10_form}
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_sized(spark, folder), "doc_id", "n_tokens")
+
+
+def p8_space(spark: SparkSession, folder: str) -> DataFrame:
+    return space_left(p8_pack(spark, folder), "n_tokens")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_sized(spark, folder), "doc_id", "source", "n_tokens", table(spark, folder, "mix_targets"), "target_share", "max_repeats")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(p9_mix(spark, folder), "source", "n_tokens", table(spark, folder, "mix_targets"), "target_share", "max_repeats")
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_space": p8_space, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_form": p10_form}
 SQL: dict[str, str] = {}

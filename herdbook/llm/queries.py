@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from herdbook.llm import q_text
+from herdbook.llm import q_match, q_text
 
-QUERIES = q_text.QUERIES
-SQL = q_text.SQL
+QUERIES = q_text.QUERIES | q_match.QUERIES
+SQL = q_text.SQL | q_match.SQL
