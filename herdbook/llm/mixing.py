@@ -11,6 +11,8 @@ from herdbook.runtime import cut
 
 #: The most sources a table of targets may have; they come to the driver.
 MOST_SOURCES = 10_000
+#: About so many records of each source, just below its threshold, are tried to fill the last gap. Only a few are taken.
+FILLERS = 100
 
 
 def _by_source(values: dict[str, float], otherwise: float = 0.0) -> Column:
@@ -89,7 +91,7 @@ def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame,
         if not open_:
             break
         first = level == 0
-        place = F.floor((F.col("v") - _by_source(at)) / (width / steps)).cast("int")
+        place = F.floor((F.col("v") - _by_source(at)) / (width / steps))
         hist = part.where((place >= 0) & (place < steps)).groupBy("_s", place.alias("b")).agg(F.sum("_n").alias("t"))
         by: dict[str, list[tuple[int, float]]] = {}
         for r in hist.collect():  # at most `steps` per source
@@ -111,7 +113,15 @@ def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame,
             if s not in cut_at:
                 cut_at[s] = edge + width / steps
         width /= steps
-    extra = F.when(F.col("v") >= _by_source(cut_at, 2.0), 1).otherwise(0)
+    # what a record too large for the gap has left open is filled with smaller ones from just below the threshold
+    reach = {s: 4.0 * FILLERS / stats[s][1] for s in open_}
+    below = part.where((F.col("v") < _by_source(cut_at, 2.0)) & (F.col("v") >= _by_source(cut_at, 2.0) - _by_source(reach))).select("_s", "_k", "_n", "v")
+    more: list = []
+    for r in sorted(below.limit(FILLERS * 8 * max(1, len(open_))).collect(), key=lambda r: -r["v"]) if open_ else []:
+        if r["_n"] <= need[r["_s"]]:
+            need[r["_s"]] -= r["_n"]
+            more.append(r["_k"])
+    extra = F.when((F.col("v") >= _by_source(cut_at, 2.0)) | (F.col("_k").isin(more) if more else F.lit(False)), 1).otherwise(0)
     copies = F.least(F.floor("rate") + extra, F.floor(_by_source(caps))).cast("int")
     copies = F.when(F.col("_s").isin(list(open_)) if open_ else F.lit(False), copies).otherwise(F.floor("rate").cast("int"))
     return drawn.select(F.col("_k").alias(key), F.col("_s").alias(source), F.col("_n").alias(size), "rate", F.coalesce(copies, F.lit(0)).alias("copies"))
