@@ -68,6 +68,8 @@ def mix(sized: DataFrame, key: str, source: str, size: str, targets: DataFrame,
             if s not in open_:
                 continue
             gap = r["f"] - goal[s]
+            if abs(gap) <= tolerance * goal[s]:
+                continue  # met: its multiplier stays
             worst = max(worst, abs(gap) / goal[s])
             if gap > 0:
                 high[s] = l[s]
