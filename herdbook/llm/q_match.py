@@ -1,10 +1,11 @@
-"""Queries on entities: best representative (p6)."""
+"""Queries on entities: best representative (p6), same address (p7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdbook.llm.addresses import same_address
 from herdbook.llm.survivor import Field, golden_records, n_categories, plain_field, survivors
 from herdbook.runtime import table
 
@@ -36,7 +37,12 @@ def p6_golden(spark: SparkSession, folder: str) -> DataFrame:
     return golden_records(table(spark, folder, "practices_web"), found, "cluster_id", ["specialization", "website", *PLAIN])
 
 
-QUERIES = {"p6_found": p6_found, "p6_golden": p6_golden}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = same_address(table(spark, folder, "address_records"), "address_id", "address", "plz", "ort")
+    return pairs.select(F.col("key_a").alias("address_id_a"), F.col("key_b").alias("address_id_b"))
+
+
+QUERIES = {"p7_found": p7_found, "p6_found": p6_found, "p6_golden": p6_golden}
 SQL = {
     "p6_found": """
 WITH w AS (SELECT w.*, coalesce(t.trust, -1) AS trust, count(*) OVER (PARTITION BY cluster_id) AS n,
