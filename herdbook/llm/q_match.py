@@ -1,4 +1,4 @@
-"""Queries on entities: best representative (p6), same address (p7)."""
+"""Queries on entities: matching across sources (p4), best representative (p6), same address (p7)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdbook.llm.addresses import same_address
+from herdbook.llm.entities import Source, match
 from herdbook.llm.survivor import Field, golden_records, n_categories, plain_field, survivors
 from herdbook.runtime import table
 
@@ -42,7 +43,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("address_id_a"), F.col("key_b").alias("address_id_b"))
 
 
-QUERIES = {"p7_found": p7_found, "p6_found": p6_found, "p6_golden": p6_golden}
+def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return match(Source(table(spark, folder, "practices_google"), "google_id"), Source(table(spark, folder, "osm_places").where("osm_id IS NOT NULL"), "osm_key"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_matches(spark, folder).where("match").select(F.col("key_a").alias("google_id"), F.col("key_b").alias("osm_key"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p7_found": p7_found, "p6_found": p6_found, "p6_golden": p6_golden}
 SQL = {
     "p6_found": """
 WITH w AS (SELECT w.*, coalesce(t.trust, -1) AS trust, count(*) OVER (PARTITION BY cluster_id) AS n,
