@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> int:
@@ -45,22 +46,22 @@ def _sorted_tokens(t: str | None) -> str | None:
     return None if t is None else " ".join(sorted(t.split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(_sorted_tokens(x), _sorted_tokens(y)) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_window(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float:
         return sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) / len(x) if x and y else 0.0

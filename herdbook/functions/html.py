@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SKIP = {"script", "style", "noscript", "template"}
 _EDGE = {"header", "footer", "nav", "aside"}
@@ -101,7 +102,7 @@ def page_text(html: str, short: int = 80) -> str:
 
 
 def _each(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield b.map(lambda h: None if h is None else f(h))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a missing value is written as, in any case.
 SENTINELS = ("", "none", "null", "nan")
@@ -16,7 +17,7 @@ ERROR_SIGNS = ("404 not found", "403 forbidden", "500 internal server error", "5
 BOT_SIGNS = ("captcha", "are you a robot", "verify you are human", "checking your browser", "unusual traffic", "enable javascript")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKD without what isn't ASCII; null stays null. No built-in does this."""
     for b in batches:

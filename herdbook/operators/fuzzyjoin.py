@@ -21,41 +21,60 @@ def _grams(x: Column) -> Column:
     return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(x, i, F.lit(GRAM))))).otherwise(F.array(x))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int = 85, score=token_sort_ratio) -> DataFrame:
-    """(left_key, right_key, score): all pairs of texts with a token-sort ratio of at least `percent`.
+def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, score=token_sort_ratio) -> DataFrame:
+    """(_lt, _rt, score): all pairs of distinct texts (words sorted) with a ratio of at least `percent`.
 
-    Distinct texts only are compared. Candidates share one of the rarest n-grams of each side: an Indel distance of d breaks
-    at most GRAM * d n-grams, so a pair shares at least one among the GRAM * d + 1 rarest of both; d follows from the length.
-    Length and Levenshtein filters that lose no pair come before the score, which runs in Arrow batches. Hot n-grams are salted.
+    Candidates share one of the rarest n-grams of each side: an Indel distance of d breaks at most GRAM * d n-grams, so a pair
+    shares at least one among the GRAM * d + 1 rarest of both; d follows from the length. Length and Levenshtein filters that
+    lose no pair come before the score, which runs in Arrow batches. Hot n-grams are salted.
     """
-    l = left.select(F.col(left_key).alias("_lk"), _sorted(F.col(left_text)).alias("_lt")).where(F.col("_lt") != "")
-    r = right.select(F.col(right_key).alias("_rk"), _sorted(F.col(right_text)).alias("_rt")).where(F.col("_rt") != "")
-    lt, rt = l.select("_lt").distinct(), r.select("_rt").distinct()
     grams = lt.select(F.col("_lt").alias("t")).unionByName(rt.select(F.col("_rt").alias("t"))).select(F.explode(_grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(texts: DataFrame, t: str) -> DataFrame:
-        # |a| + |b| is at most |t| (1 + (200 - p) / p): the longest partner's length is |t| (200 - p) / p
+        # the longest partner's length is |t| (200 - p) / p, which bounds |a| + |b| and so the distance
         most = F.floor((F.length(t) + F.floor(F.length(t) * (200 - percent) / percent)) * (100 - percent) / 100 + 1e-9).cast("int")
         ranked = texts.select(t, F.explode(_grams(F.col(t))).alias("g")).join(grams, "g").groupBy(t).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
         return ranked.select(t, F.explode(F.slice("gs", F.lit(1), GRAM * most + 1)).alias("x")).select(t, F.col("x.g").alias("g"))
 
+    # texts too short to keep an n-gram at that distance meet by length
+    short = lambda c: GRAM * F.floor(2 * F.length(c) * (100 - percent) / percent) + 1 >= F.length(c) - (GRAM - 1)
     a, b = prefix(lt, "_lt"), prefix(rt, "_rt")
+    tiny = lambda d, c: d.where(short(c)).withColumn("g", F.explode(F.sequence(F.length(c) - 4, F.length(c) + 4))).withColumn("g", F.concat(F.lit("#"), F.col("g").cast("string")))
+    at = lambda d, c: d.where(short(c)).withColumn("g", F.concat(F.lit("#"), F.length(c).cast("string")))
+    a, b = a.unionByName(at(lt, "_lt")), b.unionByName(tiny(rt, "_rt"))
     hot = hot_keys(a, ["g"], rows=5_000)
     pairs = salt_one(a, hot, ["g"], F.col("_lt")).join(salt_all(b, hot, ["g"]), ["g", "_salt"]).where(may_reach(F.col("_lt"), F.col("_rt"), percent)).select("_lt", "_rt").distinct()
-    scored = pairs.withColumn("score", score(F.col("_lt"), F.col("_rt"))).where(F.col("score") >= percent)
+    return pairs.withColumn("score", score(F.col("_lt"), F.col("_rt"))).where(F.col("score") >= percent)
+
+
+def _sides(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str) -> tuple[DataFrame, DataFrame]:
+    l = left.select(F.col(left_key).alias("_lk"), _sorted(F.col(left_text)).alias("_lt")).where(F.col("_lt") != "")
+    r = right.select(F.col(right_key).alias("_rk"), _sorted(F.col(right_text)).alias("_rt")).where(F.col("_rt") != "")
+    return l, r
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int = 85) -> DataFrame:
+    """(left_key, right_key, score): all pairs of rows whose texts have a token-sort ratio of at least `percent`; see similar_texts."""
+    l, r = _sides(left, right, left_key, right_key, left_text, right_text)
+    scored = similar_texts(l.select("_lt").distinct(), r.select("_rt").distinct(), percent)
     return scored.join(l, "_lt").join(r, "_rt").select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key), "score")
 
 
-def one_to_one(pairs: DataFrame, left_key: str, right_key: str, score: str = "score") -> DataFrame:
-    """The pairs a greedy pass takes: each left row, in order of its key, wants its best right row (ties: the smaller key) and
-    gets it if it is free; there is no second choice."""
-    want = pairs.groupBy(left_key).agg(F.max_by(F.struct(right_key, score), F.struct(F.col(score), -F.col(right_key))).alias("w")).select(left_key, F.col(f"w.{right_key}").alias(right_key), F.col(f"w.{score}").alias(score))
-    return want.groupBy(right_key).agg(F.min_by(F.struct(left_key, score), left_key).alias("w")).select(F.col(f"w.{left_key}").alias(left_key), right_key, F.col(f"w.{score}").alias(score))
+def best_of_each(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int) -> DataFrame:
+    """(left_key, right_key, score): each left row's best right row, ties to the smaller key. Texts are compared once each, and
+    of rows with one text only the first is a candidate, so frequent names don't multiply."""
+    l, r = _sides(left, right, left_key, right_key, left_text, right_text)
+    first = r.groupBy("_rt").agg(F.min("_rk").alias("_rk"))
+    scored = similar_texts(l.select("_lt").distinct(), first.select("_rt"), percent).join(first, "_rt")
+    best = scored.groupBy("_lt").agg(F.max_by(F.struct("_rk", "score"), F.struct("score", -F.col("_rk"))).alias("w"))
+    return l.join(best, "_lt").select(F.col("_lk").alias(left_key), F.col("w._rk").alias(right_key), F.col("w.score").alias("score"))
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int = 85) -> DataFrame:
-    """(left_key, right_key, score): similar_pairs taken one to one."""
-    return one_to_one(similar_pairs(left, right, left_key, right_key, left_text, right_text, percent), left_key, right_key)
+    """(left_key, right_key, score): what a greedy pass takes. Each left row, in order of its key, wants its best right row and
+    gets it if it is free; there is no second choice."""
+    want = best_of_each(left, right, left_key, right_key, left_text, right_text, percent)
+    return want.groupBy(right_key).agg(F.min_by(F.struct(left_key, "score"), left_key).alias("w")).select(F.col(f"w.{left_key}").alias(left_key), right_key, F.col("w.score").alias("score"))
 
 
 def union_of_match(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key: str, right_key: str, fill: list[str]) -> DataFrame:
@@ -69,7 +88,7 @@ def union_of_match(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key
 def without_closed(df: DataFrame, closed: DataFrame, key: str, closed_key: str, rules: list[tuple[str, str, int]]) -> DataFrame:
     """df without rows that resemble a closed one by any rule (text column, closed text column, percent)."""
     for mine, theirs, percent in rules:
-        hit = similar_pairs(df, closed, key, closed_key, mine, theirs, percent).select(key).distinct()
+        hit = best_of_each(df, closed, key, closed_key, mine, theirs, percent).select(key)
         df = df.join(hit, key, "left_anti")
     return df
 
@@ -79,6 +98,4 @@ def exact_else_fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key
     l = left.select(left_key, F.col(left_text).alias("_t"))
     exact = l.join(right.groupBy(F.col(right_text).alias("_t")).agg(F.min(right_key).alias(right_key)), "_t").select(left_key, right_key, F.lit(100.0).alias("score"))
     rest = left.join(exact.select(left_key), left_key, "left_anti")
-    pairs = similar_pairs(rest, right, left_key, right_key, left_text, right_text, percent)
-    best = pairs.groupBy(left_key).agg(F.max_by(F.struct(right_key, "score"), F.struct("score", -F.col(right_key))).alias("w")).select(left_key, F.col(f"w.{right_key}").alias(right_key), "w.score")
-    return exact.unionByName(best)
+    return exact.unionByName(best_of_each(rest, right, left_key, right_key, left_text, right_text, percent))

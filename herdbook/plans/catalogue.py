@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from herdbook.plans import dealt
+from herdbook.plans import dealt, survey
 
-QUERIES = dealt.QUERIES
-SQL = dealt.SQL
+QUERIES = dealt.QUERIES | survey.QUERIES
+SQL = dealt.SQL | survey.SQL
