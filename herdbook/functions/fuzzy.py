@@ -96,4 +96,4 @@ def may_reach(a: Column, b: Column, percent: int) -> Column:
     """
     total = F.length(a) + F.length(b)
     most = F.floor(total * (100 - percent) / 100 + 1e-9).cast("int")
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)

@@ -24,22 +24,28 @@ def _grams(x: Column) -> Column:
 def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, score=token_sort_ratio) -> DataFrame:
     """(_lt, _rt, score): all pairs of distinct texts (words sorted) with a ratio of at least `percent`.
 
-    Candidates share one of the rarest n-grams of each side: an Indel distance of d breaks at most GRAM * d n-grams, so a pair
-    shares at least one among the GRAM * d + 1 rarest of both; d follows from the length. Length and Levenshtein filters that
-    lose no pair come before the score, which runs in Arrow batches. Hot n-grams are salted.
+    Candidates share one of the rarest n-grams of each side, and no pair is lost: a letter left out breaks at most GRAM
+    n-grams, one put in GRAM - 1, and the ratio bounds both by the length, so at most `broken` of a text's n-grams are missing
+    in its partner and two prefixes of broken + 1 by rarity meet. Length and Levenshtein filters that lose no pair come before
+    the score, which runs in Arrow batches. Hot n-grams are salted.
     """
     grams = lt.select(F.col("_lt").alias("t")).unionByName(rt.select(F.col("_rt").alias("t"))).select(F.explode(_grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
+    r = percent / 100
+
+    def broken(t: str) -> Column:
+        # at the shortest partner letters are only left out, at the longest only put in; between them the sum is linear
+        out, in_ = F.floor(F.length(t) * (2 - 2 * r) / (2 - r) + 1e-9), F.floor(F.length(t) * (2 - 2 * r) / r + 1e-9)
+        return F.greatest(GRAM * out, (GRAM - 1) * in_).cast("int") + GRAM
+
     def prefix(texts: DataFrame, t: str) -> DataFrame:
-        # the longest partner's length is |t| (200 - p) / p, which bounds |a| + |b| and so the distance
-        most = F.floor((F.length(t) + F.floor(F.length(t) * (200 - percent) / percent)) * (100 - percent) / 100 + 1e-9).cast("int")
         ranked = texts.select(t, F.explode(_grams(F.col(t))).alias("g")).join(grams, "g").groupBy(t).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-        return ranked.select(t, F.explode(F.slice("gs", F.lit(1), GRAM * most + 1)).alias("x")).select(t, F.col("x.g").alias("g"))
+        return ranked.select(t, F.explode(F.slice("gs", F.lit(1), broken(t) + 1)).alias("x")).select(t, F.col("x.g").alias("g"))
 
     # texts too short to keep an n-gram at that distance meet by length
-    short = lambda c: GRAM * F.floor(2 * F.length(c) * (100 - percent) / percent) + 1 >= F.length(c) - (GRAM - 1)
+    short = lambda c: broken(c) >= F.length(c) - (GRAM - 1)
     a, b = prefix(lt, "_lt"), prefix(rt, "_rt")
-    tiny = lambda d, c: d.where(short(c)).withColumn("g", F.explode(F.sequence(F.length(c) - 4, F.length(c) + 4))).withColumn("g", F.concat(F.lit("#"), F.col("g").cast("string")))
+    tiny = lambda d, c: d.where(short(c)).withColumn("g", F.explode(F.sequence((F.length(c) * r / (2 - r)).cast("int"), (F.length(c) * (2 - r) / r).cast("int") + 1))).withColumn("g", F.concat(F.lit("#"), F.col("g").cast("string")))
     at = lambda d, c: d.where(short(c)).withColumn("g", F.concat(F.lit("#"), F.length(c).cast("string")))
     a, b = a.unionByName(at(lt, "_lt")), b.unionByName(tiny(rt, "_rt"))
     hot = hot_keys(a, ["g"], rows=5_000)

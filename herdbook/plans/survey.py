@@ -86,8 +86,8 @@ def species_of_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_match_top1(spark: SparkSession, d: str) -> DataFrame:
-    key = lambda t, k: table(spark, d, t).select(k, F.lower(text.concat_key("name", "address")).alias("both")).where("both <> ''")
-    return fuzzyjoin.best_match(key("practices_google", "google_id"), key("osm_places", "osm_key"), "google_id", "osm_key", "both", "both", 85)
+    key = lambda t, k: table(spark, d, t).select(k, F.lower("name").alias("name")).where("name <> ''")
+    return fuzzyjoin.best_match(key("practices_google", "google_id"), key("osm_places", "osm_key"), "google_id", "osm_key", "name", "name", 90)
 
 
 def closed_anti_join(spark: SparkSession, d: str) -> DataFrame:
