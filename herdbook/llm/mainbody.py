@@ -17,6 +17,8 @@ from herdbook.llm.boosting import BoostedTrees
 
 #: The most pages that a model is trained on, chosen by a hash of their id.
 SAMPLE_PAGES = 1_200
+#: Pages whose nodes are scored together; bounds a worker's memory.
+CHUNK = 256
 #: A line's text is looked up in the statistics if it is on at least this share of all pages: a bounded number of texts.
 SHARE = 0.0005
 #: HTML's own names for the parts of a page.
@@ -280,9 +282,9 @@ def main_lines(pages: DataFrame, page: str, site: str, html: str, sample_pages:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stats, states = shared.value
         line_model, box_model = map(BoostedTrees.of, states)
-        for b in batches:
+        for b, at in ((b, at) for b in batches for at in range(0, len(b), CHUNK)):
             parsed, xs, bx = [], [], []
-            for p, h in zip(b["_p"], b["_h"]):
+            for p, h in zip(b["_p"][at:at + CHUNK], b["_h"][at:at + CHUNK]):
                 lines, boxes = parse(h)
                 if lines:
                     x, box = _features(lines, boxes, stats, True)
