@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdbook.functions.fuzzy import partial_ratio
-from herdbook.functions.text import keyword_score, null_if_blank
+from herdbook.functions.fuzzy import may_reach, partial_ratio, ratio, share_contained
+from herdbook.functions.text import contains_any, keyword_score, null_if_blank
 
 PEOPLE = "array<struct<Name:string,Gender:string,Role:string,Uncertain:boolean>>"
 #: What a team page's words weigh (others that are keywords: 3).
 TEAM_WEIGHTS = {"team": 20, "équipe": 20, "equipo": 20, "squadra": 20, "unser team": 25, "tierarzt": 5, "tierärztin": 5, "vétérinaire": 5, "veterinaria": 5, "veterinario": 5, "vet": 5, "praxis": 3, "doctor": 5, "dokter": 5}
 
 
+#: Words on buttons that accept cookies.
+COOKIE_WORDS = ("accept", "agree", "allow", "akzeptieren", "annehmen", "zustimmen", "accepter", "accetta", "aceptar", "toestaan", "einverstanden")
+
+
 def keyword_hits(docs: DataFrame, key: str, text: str, lang: str, keywords: DataFrame, kw_lang: str, kw_word: str, kw_kind: str, also: str | None = "en", fuzzy: int | None = None) -> DataFrame:
     """(key, kind): the kinds of which a keyword of the document's language, or of `also`, is in the text, in any case.
 
@@ -106,6 +110,25 @@ def best_page(pages: DataFrame, site: str, url: str, score: str, preferred: str,
     return g.select(site, F.coalesce(F.when(F.col("n") == 1, F.col("one")), "p", "c", "h").alias("best"))
 
 
+def cookie_label(label: Column, keywords: tuple[str, ...] = COOKIE_WORDS, percent: int = 85) -> Column:
+    """True if a button's label holds a word of consent, or resembles one by at least `percent`."""
+    low = F.lower(F.trim(label))
+    near = F.lit(False)
+    for w in keywords:
+        near = near | (may_reach(low, F.lit(w), percent) & (ratio(low, F.lit(w)) >= percent))
+    return F.coalesce(contains_any(low, list(keywords)) | near, F.lit(False))
+
+
+def merged_profiles(profiles: DataFrame, site: str, url: str, text: str, main: str, most: float = 0.85) -> DataFrame:
+    """(site, merged): a site's main text with those of its profiles by URL, each under its URL; blank ones and those of which
+    a share of `most` or more is in the main text are left out. A site's profiles are few (team_profiles caps them)."""
+    kept = profiles.where(F.trim(text) != "").withColumn("_s", share_contained(F.col(text), F.col(main))).where(F.col("_s") < most)
+    parts = kept.groupBy(site).agg(F.array_sort(F.collect_list(F.struct(F.col(url).alias("u"), F.col(text).alias("t")))).alias("p"))
+    out = profiles.groupBy(site).agg(F.min(main).alias("_m")).join(parts, site, "left")
+    pages = F.transform(F.coalesce("p", F.array().cast("array<struct<u:string,t:string>>")), lambda x: F.concat(F.lit("[Page: "), x.u, F.lit("]\n"), x.t))
+    return out.select(site, F.concat_ws("\n\n", F.concat(F.array("_m"), pages)).alias("merged"))
+
+
 def site_links(pages: DataFrame, url: str, links: str) -> DataFrame:
     """(url, href, anchor): the distinct links of each page that stay on its host, without fragments, files and downloads.
 

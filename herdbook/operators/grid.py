@@ -7,9 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from herdbook.operators.points import EARTH_M, containing_regions, great_circle_m
+from herdbook.runtime import cut
 
 #: The ellipsoid GRS80 and the European equal-area projection (EPSG:3035).
 GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
@@ -213,3 +215,46 @@ def moran_significance(cells: DataFrame, value: str, permutations: int = 999, se
 
     rows = rows.withColumn("p_value", p("i", "j", "z", "lag", "_k")).drop("_k")
     return rows.withColumn("label", F.when(F.col("p_value") > level, "Not significant").otherwise(F.col("quadrant")))
+
+
+def square_cells(regions: DataFrame, code: str, region: str, rings: str, size_m: float = 10_000, probes: int = 6) -> DataFrame:
+    """(code, cell_id, i, j, x0, y0, share): the squares of a grid in EPSG:3035 that touch a country, by a lattice of probes.
+
+    A country's grid starts at its own bounding box. Cells are numbered from 1 after clipping, by x and then y: 'CHE_1', ...
+    """
+    p = regions.select(F.col(code).alias("code"), F.explode(F.flatten(rings)).alias("q"))
+    px, py = to_laea(F.col("q.y"), F.col("q.x"))
+    box = p.select("code", px.alias("px"), py.alias("py")).groupBy("code").agg(F.min("px").alias("gx"), F.min("py").alias("gy"), F.max("px").alias("hx"), F.max("py").alias("hy"))
+    n = lambda a, b: F.greatest(F.lit(0), F.ceil((F.col(b) - F.col(a)) / size_m).cast("int") - 1)
+    c = box.withColumn("i", F.explode(F.sequence(F.lit(0), n("gx", "hx")))).withColumn("j", F.explode(F.sequence(F.lit(0), n("gy", "hy"))))
+    c = c.select("code", "i", "j", (F.col("gx") + F.col("i") * size_m).alias("x0"), (F.col("gy") + F.col("j") * size_m).alias("y0"))
+    span = F.sequence(F.lit(0), F.lit(probes - 1))
+    at = c.withColumn("a", F.explode(span)).withColumn("b", F.explode(span))
+    lat, lon = from_laea(F.col("x0") + (F.col("a") + 0.5) / probes * size_m, F.col("y0") + (F.col("b") + 0.5) / probes * size_m)
+    # written once: else each test of a coordinate would hold the whole projection again
+    at = cut(at.select("code", "i", "j", lat.alias("lat"), lon.alias("lon"), F.xxhash64("code", "i", "j", "a", "b").alias("_p")))
+    own = regions.select(F.col(region).alias("key_b"), F.col(code).alias("code"))
+    hit = containing_regions(at, "_p", "lat", "lon", regions, region, rings).join(own, "key_b").select(F.col("key_a").alias("_p"), "code").distinct()
+    share = at.join(hit, ["_p", "code"], "left_semi").groupBy("code", "i", "j").agg((F.count(F.lit(1)) / float(probes * probes)).alias("share"))
+    kept = c.join(share, ["code", "i", "j"])
+    number = F.row_number().over(W.partitionBy("code").orderBy("i", "j"))
+    return kept.withColumn("cell_id", F.concat_ws("_", "code", number)).select("code", "cell_id", "i", "j", "x0", "y0", "share")
+
+
+def clip_raster(pixels: DataFrame, x: Column, y: Column, regions: DataFrame, region: str, rings: str) -> DataFrame:
+    """The pixels other than 0 whose centre (x, y) lies in a region."""
+    p = pixels.where(F.col("value") != 0).withColumn("_p", F.xxhash64("raster", "row", "col")).withColumns({"_lon": x, "_lat": y})
+    inside = containing_regions(p, "_p", "_lat", "_lon", regions, region, rings).select(F.col("key_a").alias("_p")).distinct()
+    return p.join(inside, "_p", "left_semi").drop("_p", "_lon", "_lat")
+
+
+def raster_hints(pixels: DataFrame, pixel_size: float) -> DataFrame:
+    """(raster, least, most, mean, about_5_arc_minutes, looks_log10) of each raster."""
+    r = pixels.groupBy("raster").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
+    return r.withColumns({"about_5_arc_minutes": F.lit(abs(pixel_size - 0.08333) <= 0.001), "looks_log10": F.col("most") < 10})
+
+
+def ring_area(ring: Column) -> Column:
+    """The area of a ring in the square of its unit, by the shoelace formula; it may or may not repeat its first point."""
+    nxt = lambda i: F.get(ring, F.pmod(i + 1, F.size(ring)))
+    return F.abs(F.aggregate(F.transform(ring, lambda q, i: q.x * nxt(i).y - nxt(i).x * q.y), F.lit(0.0), lambda a, v: a + v)) / 2

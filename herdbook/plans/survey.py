@@ -273,11 +273,43 @@ def country_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "osm_places").groupBy("country_code").agg(F.count(F.lit(1)).alias("n"), F.count("osm_id").alias("elements"), F.countDistinct("osm_id").alias("distinct_elements"))
 
 
+def country_boxes(spark: SparkSession, d: str) -> DataFrame:
+    boxes = grid.bounds(table(spark, d, "boundaries"), "rings", ["region_id"])
+    return grid.box_tiles(boxes, 50, 5, 15).select("region_id", "i", "j", *(F.round(c, 6).alias(c) for c in ("south", "west", "north", "east")))
+
+
+def country_cells(spark: SparkSession, d: str) -> DataFrame:
+    # the projection is one of Europe; New Zealand lies at its far end
+    return grid.square_cells(table(spark, d, "boundaries").where("iso <> 'NZL'"), "iso", "region_id", "rings")
+
+
+def region_areas(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "boundaries")
+    return b.select("region_id", F.round(F.aggregate(F.transform("rings", grid.ring_area), F.lit(0.0), lambda a, x: a + x), 6).alias("area"))
+
+
+def cookie_buttons(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "site_pages").select(F.explode(F.regexp_extract_all("html", F.lit("(?i)<button>([^<]*)"), F.lit(1))).alias("label"))
+    return b.groupBy(F.trim("label").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("accepts", classify.cookie_label(F.col("label")))
+
+
+def site_link_table(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "site_pages").select("url", html.links(F.col("html")).alias("l"))
+    return classify.site_links(pages.groupBy("url").agg(F.max("l").alias("l")), "url", "l")
+
+
+def moran_of_residuals(spark: SparkSession, d: str) -> DataFrame:
+    cells, p = _cells(spark, d)
+    c = grid.cell_counts(cells, p, ["i", "j"])
+    c = model.residuals(c.crossJoin(F.broadcast(c.agg(F.avg("clinic_count").alias("expected")))), "clinic_count", "expected")
+    return model.global_moran(c, "resid_pearson").select("n", F.round("moran_i", 6).alias("moran_i"))
+
+
 QUERIES = {f.__name__: f for f in (
     dedup_spatial_clusters, dedup_duplicates_export, merge_cluster_rows, keep_first_dedup, status_split_nullsafe, union_align_columns, keyword_filter_names, null_conventions, species_flags,
     clinic_classify, species_of_documents, best_match_top1, closed_anti_join, closed_anti_exact, fill_missing_from_lookup, update_first_row, population_radius, page_stop_rules, call_cap_running,
     team_counts_json, url_clean, url_blacklist, html_links, html_text_valid, html_main_text, team_page_score, best_team_page, text_normalise, point_in_polygon, grid_assign_count, grid_local_moran,
-    lisa_summary, lisa_significance, raster_sample, covariate_impute, residuals, poisson_fit, profile_minmax, resume_anti, country_tiles, covered_tiles, region_lattice, laea_cells, country_summary)}
+    lisa_summary, lisa_significance, raster_sample, covariate_impute, residuals, poisson_fit, profile_minmax, resume_anti, country_tiles, covered_tiles, region_lattice, laea_cells, country_summary, country_boxes, country_cells, region_areas, cookie_buttons, site_link_table, moran_of_residuals)}
 
 _CLUSTERS = f"""
 WITH RECURSIVE p AS (SELECT google_id, name, latitude y, longitude x FROM practices_google WHERE {_POINT}),
@@ -394,5 +426,11 @@ SELECT row_id, floor(coalesce(s, m) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUB
 WITH q AS (SELECT iso, unnest(flatten(rings)) AS q FROM boundaries), b AS (SELECT iso, min(q.x) x0, min(q.y) y0, max(q.x) x1, max(q.y) y1 FROM q GROUP BY iso),
 i AS (SELECT *, unnest(range(0, greatest(1, ceil((x1 - x0) / 0.25::DOUBLE - 1e-9)::INT))) AS i FROM b), t AS (SELECT *, unnest(range(0, greatest(1, ceil((y1 - y0) / 0.25::DOUBLE - 1e-9)::INT))) AS j FROM i)
 SELECT iso, i::INT AS i, j::INT AS j, round(y0 + j * 0.25::DOUBLE, 6) AS south, round(x0 + i * 0.25::DOUBLE, 6) AS west, round(least(y0 + j * 0.25::DOUBLE + 0.25::DOUBLE, y1), 6) AS north, round(least(x0 + i * 0.25::DOUBLE + 0.25::DOUBLE, x1), 6) AS east FROM t""",
+    "region_areas": """
+WITH r AS (SELECT region_id, unnest(rings) AS ring FROM boundaries),
+e AS (SELECT region_id, ring, unnest(list_transform(range(1, len(ring) + 1), lambda i: {'p': ring[i], 'q': ring[CASE WHEN i = len(ring) THEN 1 ELSE i + 1 END]})) AS e FROM r),
+a AS (SELECT region_id, ring, abs(sum(e.p.x * e.q.y - e.q.x * e.p.y)) / 2 AS a FROM e GROUP BY region_id, ring)
+SELECT region_id, round(sum(a), 6) AS area FROM a GROUP BY region_id""",
+    "moran_of_residuals": _MORAN.replace("clinic_count - m AS z, v FROM c, s", "(clinic_count - m) / sqrt(m) AS z, v / m AS v FROM c, s") + " SELECT count(*) AS n, round(avg(local_i), 6) AS moran_i FROM q",
     "country_summary": "SELECT country_code, count(*) AS n, count(osm_id) AS elements, count(DISTINCT osm_id) AS distinct_elements FROM osm_places GROUP BY country_code",
 }

@@ -144,3 +144,65 @@ def test_stream_of_new_keys(spark, tmp_path):
     stream = spark.readStream.schema("k string, t timestamp").parquet(src)
     append_to(new_keys(stream, ["k"], "t"), dst, chk).awaitTermination(60)
     assert spark.read.parquet(dst).count() == 2
+
+
+def test_profiles_and_labels(spark):
+    main = "The team of the practice is here every day of the week and helps"
+    rows = [("s", "u2", "Anna is a vet and likes cats", main, "x"), ("s", "u1", " ", main, "x"), ("s", "u3", main[:60], main, "x"), ("t", "u4", None, "only", "x")]
+    df = spark.createDataFrame(rows, "site string, url string, text string, main string, merged string")
+    got = {r.site: r.merged for r in classify.merged_profiles(df, "site", "url", "text", "main").collect()}
+    assert got == {"s": f"{main}\n\n[Page: u2]\nAnna is a vet and likes cats", "t": "only"}
+    df = col(spark, ["Accept all", "Zustimmne", "Mehr", None])
+    assert [r[0] for r in out(df, classify.cookie_label(F.col("x")))] == [True, True, False, False]
+
+
+def test_best_page_and_links(spark):
+    rows = [("s", "https://s.ch/team", 5, True), ("s", "https://s.ch/x", 50, False), ("t", "https://t.ch/a", 0, False), ("u", "https://u.ch/a", 3, False), ("u", "https://u.ch/b", 9, False), ("v", "https://v.ch/t1", 3, True), ("v", "https://v.ch/t2", 9, True)]
+    df = spark.createDataFrame(rows, "site string, url string, score int, pref boolean")
+    got = {r.site: r.best for r in classify.best_page(df, "site", "url", "score", "pref", F.concat(F.lit("home "), F.col("site"))).collect()}
+    assert got == {"s": "https://s.ch/team", "t": "home t", "u": "https://u.ch/b", "v": "https://v.ch/t2"}
+    page = '<a href="/team">Team</a><a href="/team#x">Again</a><a href="https://o.ch/">Other</a><a href="/f.pdf">File</a><a href="#top">Top</a><a href="/app?os=x">App</a>'
+    df = spark.createDataFrame([("https://s.ch/", page)], "url string, html string").select("url", html.links(F.col("html")).alias("l"))
+    assert [(r.href, r.anchor) for r in classify.site_links(df, "url", "l").collect()] == [("https://s.ch/team", "Again")]
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(1, "q1", None, None, None), (2, "q2", 1.0, 2.0, " "), (3, None, None, None, "A")], "k int, query string, latitude double, longitude double, address string")
+    a, b = (spark.createDataFrame(r, "query string, lat double, lon double") for r in ([("q9", 0.0, 0.0)], [("q1", 5.0, 6.0), ("q2", 9.0, 9.0)]))
+    got = {r.k: (r.latitude, r.longitude) for r in readers.geocoded(df, "query", [a, b]).collect()}
+    assert got == {1: (5.0, 6.0), 2: (1.0, 2.0), 3: (None, None)}
+    places = spark.createDataFrame([(1.00001, 2.0, "R", "4", "", None, "T", "V", "CH")], "lat double, lon double, road string, house_number string, postcode string, city string, town string, village string, country string")
+    got = {r.k: r.address for r in readers.reverse_geocoded(df, places).collect()}
+    assert got == {1: None, 2: "R, 4, T, CH", 3: "A"}
+    results = spark.createDataFrame([("q1", 1, "https://facebook.com/x"), ("q1", 2, "https://a.ch/")], "query string, rank int, url string")
+    got = {r.k: r.found for r in readers.first_result(df, results, "query", lambda u: ~url.blocked_exactly(u)).collect()}
+    assert got == {1: "https://a.ch/", 2: None, 3: None}
+
+
+def test_updates_caps_and_checks(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, None), (None, 3, "x"), ("b", 4, "y")], "name string, o int, v string")
+    up = spark.createDataFrame([("a", "new"), ("b", None)], "name string, v string")
+    assert {r.o: r.v for r in relational.update_first(df, up, "name", "o", ["v"]).collect()} == {1: "new", 2: None, 3: "x", 4: "y"}
+    run = relational.within_cap(df, "o", F.lit(2), 6, 2).collect()
+    assert sorted((r.o, r.running) for r in run) == [(1, 2), (2, 4), (3, 6)]
+    parts = df.groupBy("name").count()
+    assert relational.check_total(parts, "count", df).count() == 3
+    try:
+        relational.check_total(parts, "count", df.limit(2)).collect()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert "rows were lost" in str(e)
+    assert relational.align(spark.createDataFrame([(1, "n")], "`E-Mail` int, Nmae string"), ["Name", "Email", "City"]).collect()[0].asDict() == {"Name": "n", "Email": 1, "City": ""}
+
+
+def test_poisson_fit_finds_coefficients(spark):
+    import numpy as np
+
+    from herdbook.operators import model
+
+    rng = np.random.default_rng(0)
+    rows = [(int(rng.poisson(np.exp(-1 + 0.8 * x) * 3.0)), 3.0, float(x)) for x in rng.normal(size=1500)] + [(3, 3.0, None)]
+    out_, coef = model.poisson_fit(spark.createDataFrame(rows, "n int, area double, x double"), "n", "area", ["x"])
+    c = {r.name: r.estimate for r in coef.collect()}
+    assert abs(c["(Intercept)"] + 1) < 0.1 and abs(c["x"] - 0.8) < 0.1
+    assert out_.where("resid_raw IS NULL").count() == 0
