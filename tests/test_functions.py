@@ -192,7 +192,7 @@ def test_updates_caps_and_checks(spark):
         raise AssertionError("no error")
     except Exception as e:
         assert "rows were lost" in str(e)
-    assert relational.align(spark.createDataFrame([(1, "n")], "`E-Mail` int, Nmae string"), ["Name", "Email", "City"]).collect()[0].asDict() == {"Name": "n", "Email": 1, "City": ""}
+    assert relational.align(spark.createDataFrame([(1, "n")], "`E-Mail` int, Names string"), ["Name", "Email", "City"]).collect()[0].asDict() == {"Name": "n", "Email": 1, "City": ""}
 
 
 def test_poisson_fit_finds_coefficients(spark):
