@@ -91,3 +91,27 @@ def test_hamming_buckets_are_exact():
         for bit in rng.sample(range(64), entities.BANDS - 1):
             y ^= 1 << bit
         assert any((x >> 8 * i) & 255 == (y >> 8 * i) & 255 for i in range(entities.BANDS))
+
+
+def test_entities_without_a_common_place(spark):
+    cols = "google_id bigint, name string, address string, latitude double, longitude double, website string"
+    a = [(1, "Tierarztpraxis Rosenau", "Kirchfeldweg 4, 8001 Oberdorf", None, None, None), (2, "Kleintierpraxis Belwyl", "Lindenhofstrasse 9, 7000 Chur", 47.2, 8.2, None),
+         (3, "Tierklinik Morgenthal", None, 46.0, 9.0, None), (4, "Praxis Zum Hirschen", "Seegasse 3, 6000 Altwil", None, None, "https://hirschen.example"), (5, "Pferdeklinik Sonnmatt", "Brunnenweg 12, 8010 Oberdorf", 47.0, 8.0, None)]
+    b = [(10, "Tierarztpraxis Rosenau", "Kirchfeldweg 4", 47.1, 8.1, None), (11, "Kleintierpraxis Belwyl", "Lindenhofstrasse 9, Chur", 45.9, 9.9, None), (12, "Tierklinik Morgenthal", None, 46.013, 9.0, None),
+         (13, "Praxis Hirschenn", None, 46.5, 8.8, "http://www.hirschen.example/"), (14, "Pferdeklinik Sonnmatt", "Brunnenweg 12, 8016 Oberdorf", 49.0, 8.0, None), (15, "Pferdeklinik Sonnmatt", "Brunnenweg 13", 49.0, 8.0, None)]
+    out = entities.match(entities.Source(spark.createDataFrame(a, cols), "google_id"), entities.Source(spark.createDataFrame(b, cols.replace("google_id", "osm_key")), "osm_key")).collect()
+    assert {(r.key_a, r.key_b) for r in out if r.match} == {(1, 10), (2, 11), (3, 12), (4, 13), (5, 14)}
+
+
+@have
+def test_entities_lose_no_pair_that_scores(spark):
+    from herdbook.runtime import table
+
+    a = entities.Source(table(spark, DATA, "practices_google"), "google_id")
+    b = entities.Source(table(spark, DATA, "osm_places").where("osm_id IS NOT NULL"), "osm_key")
+    generic = entities._generic([a, b])
+    ra, rb = entities._records(a, generic), entities._records(b, generic)
+    chains = ra.unionByName(rb).where("host <> ''").groupBy("host").agg(F.approx_count_distinct(F.when((F.col("code") != "") | (F.col("town") != ""), F.concat_ws("|", F.coalesce(F.nullif("code", F.lit("")), F.col("town")), "number")), 0.05).alias("n")).where("n >= 4").select("host", F.lit(True).alias("chain"))
+    every = entities._side(ra.join(chains, "host", "left"), "a").crossJoin(entities._side(rb, "b"))
+    true = {(r.key_a, r.key_b) for r in entities._scored(every, entities.Weights()).where("score > 0").collect()}
+    assert true == {(r.key_a, r.key_b) for r in entities.match(a, b).where("match").collect()}
