@@ -217,26 +217,50 @@ def moran_significance(cells: DataFrame, value: str, permutations: int = 999, se
     return rows.withColumn("label", F.when(F.col("p_value") > level, "Not significant").otherwise(F.col("quadrant")))
 
 
+def _crossed(edges: DataFrame) -> DataFrame:
+    """(code, i, j): the unit squares through whose inside an edge (u0, v0)-(u1, v1) runs; an edge along a border runs through none."""
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b)).cast("int"), F.floor(F.greatest(a, b)).cast("int"))
+    e = edges.withColumn("i", F.explode(span("u0", "u1"))).withColumn("j", F.explode(span("v0", "v1")))
+
+    def within(k: str, p: str, q: str) -> tuple[Column, Column]:  # the part of the edge, from 0 to 1, between k and k + 1; empty is (1, 0)
+        d, lo, hi = F.col(q) - F.col(p), F.col(k) - F.col(p), F.col(k) + 1 - F.col(p)
+        level, runs = (lo < 0) & (hi > 0), F.nullif(d, F.lit(0.0))
+        return F.when(d != 0, F.least(lo / runs, hi / runs)).when(level, 0.0).otherwise(1.0), F.when(d != 0, F.greatest(lo / runs, hi / runs)).when(level, 1.0).otherwise(0.0)
+
+    (a, b), (c, d) = within("i", "u0", "u1"), within("j", "v0", "v1")
+    return e.where(F.greatest(F.lit(0.0), a, c) < F.least(F.lit(1.0), b, d)).select("code", "i", "j").distinct()
+
+
 def square_cells(regions: DataFrame, code: str, region: str, rings: str, size_m: float = 10_000, probes: int = 6) -> DataFrame:
-    """(code, cell_id, i, j, x0, y0, share): the squares of a grid in EPSG:3035 that touch a country, by a lattice of probes.
+    """(code, cell_id, i, j, x0, y0, share): the squares of a grid in EPSG:3035 that share some area with a country.
 
+    Corners of regions are projected and edges are straight in the projection. A square is kept if an edge runs through its
+    inside, or a probe lies inside a region; where no edge runs through, one probe decides for all. `share` is the share of
+    probes x probes points that lie inside, 0 for a square met between the probes only.
     A country's grid starts at its own bounding box. Cells are numbered from 1 after clipping, by x and then y: 'CHE_1', ...
     """
-    p = regions.select(F.col(code).alias("code"), F.explode(F.flatten(rings)).alias("q"))
+    unit = 2e5  # metres to numbers in the range of degrees, as containing_regions wants them
+    corners = regions.select(F.col(code).alias("code"), F.col(region).alias("_r"), F.posexplode(rings).alias("ring", "_q"))
+    corners = corners.select("code", "_r", "ring", F.posexplode("_q").alias("at", "q"))
     px, py = to_laea(F.col("q.y"), F.col("q.x"))
-    box = p.select("code", px.alias("px"), py.alias("py")).groupBy("code").agg(F.min("px").alias("gx"), F.min("py").alias("gy"), F.max("px").alias("hx"), F.max("py").alias("hy"))
+    corners = cut(corners.select("code", "_r", "ring", "at", px.alias("px"), py.alias("py")))
+    box = corners.groupBy("code").agg(F.min("px").alias("gx"), F.min("py").alias("gy"), F.max("px").alias("hx"), F.max("py").alias("hy"))
     n = lambda a, b: F.greatest(F.lit(0), F.ceil((F.col(b) - F.col(a)) / size_m).cast("int") - 1)
     c = box.withColumn("i", F.explode(F.sequence(F.lit(0), n("gx", "hx")))).withColumn("j", F.explode(F.sequence(F.lit(0), n("gy", "hy"))))
     c = c.select("code", "i", "j", (F.col("gx") + F.col("i") * size_m).alias("x0"), (F.col("gy") + F.col("j") * size_m).alias("y0"))
+    own = W.partitionBy("_r", "ring")
+    nxt = lambda x: F.coalesce(F.lead(x).over(own.orderBy("at")), F.first(x).over(own.orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    edges = corners.withColumns({"qx": nxt("px"), "qy": nxt("py")}).join(box, "code")
+    edges = edges.select("code", *(((F.col(x) - F.col(g)) / size_m).alias(k) for k, x, g in (("u0", "px", "gx"), ("v0", "py", "gy"), ("u1", "qx", "gx"), ("v1", "qy", "gy"))))
     span = F.sequence(F.lit(0), F.lit(probes - 1))
     at = c.withColumn("a", F.explode(span)).withColumn("b", F.explode(span))
-    lat, lon = from_laea(F.col("x0") + (F.col("a") + 0.5) / probes * size_m, F.col("y0") + (F.col("b") + 0.5) / probes * size_m)
-    # written once: else each test of a coordinate would hold the whole projection again
-    at = cut(at.select("code", "i", "j", lat.alias("lat"), lon.alias("lon"), F.xxhash64("code", "i", "j", "a", "b").alias("_p")))
-    own = regions.select(F.col(region).alias("key_b"), F.col(code).alias("code"))
-    hit = containing_regions(at, "_p", "lat", "lon", regions, region, rings).join(own, "key_b").select(F.col("key_a").alias("_p"), "code").distinct()
+    at = at.select("code", "i", "j", ((F.col("y0") + (F.col("b") + 0.5) / probes * size_m) / unit).alias("lat"), ((F.col("x0") + (F.col("a") + 0.5) / probes * size_m) / unit).alias("lon"), F.xxhash64("code", "i", "j", "a", "b").alias("_p"))
+    flat = corners.groupBy("code", "_r", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "px", "py"))), lambda q: F.struct((q.px / unit).alias("x"), (q.py / unit).alias("y"))).alias("one"))
+    flat = cut(flat.groupBy("code", "_r").agg(F.collect_list("one").alias("rings")))
+    hit = containing_regions(at, "_p", "lat", "lon", flat, "_r", "rings").join(flat.select(F.col("_r").alias("key_b"), "code"), "key_b").select(F.col("key_a").alias("_p"), "code").distinct()
     share = at.join(hit, ["_p", "code"], "left_semi").groupBy("code", "i", "j").agg((F.count(F.lit(1)) / float(probes * probes)).alias("share"))
-    kept = c.join(share, ["code", "i", "j"])
+    met = share.unionByName(_crossed(edges).withColumn("share", F.lit(0.0))).groupBy("code", "i", "j").agg(F.max("share").alias("share"))
+    kept = c.join(met, ["code", "i", "j"])
     number = F.row_number().over(W.partitionBy("code").orderBy("i", "j"))
     return kept.withColumn("cell_id", F.concat_ws("_", "code", number)).select("code", "cell_id", "i", "j", "x0", "y0", "share")
 

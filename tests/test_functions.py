@@ -206,3 +206,17 @@ def test_poisson_fit_finds_coefficients(spark):
     c = {r.name: r.estimate for r in coef.collect()}
     assert abs(c["(Intercept)"] + 1) < 0.1 and abs(c["x"] - 0.8) < 0.1
     assert out_.where("resid_raw IS NULL").count() == 0
+
+
+def test_square_cells_keep_slivers(spark):
+    # a block of 9.9 km with a strip 400 m high, below the lowest probes, that reaches into the next square
+    corners = [(0, 0), (18_000, 0), (18_000, 400), (9_900, 400), (9_900, 9_900), (0, 9_900)]
+    df = spark.createDataFrame([(k, 4_300_000.0 + x, 3_200_000.0 + y) for k, (x, y) in enumerate(corners)], "k int, x double, y double")
+    lat, lon = grid.from_laea(F.col("x"), F.col("y"))
+    ring = [(r.lon, r.lat) for r in df.select("k", lat.alias("lat"), lon.alias("lon")).orderBy("k").collect()]
+    far = [(x + 1.0, y) for x, y in ring]
+    rows = [(1, "AAA", [ring]), (2, "BBB", [[*far, far[0]]])]
+    b = spark.createDataFrame(rows, "region_id bigint, iso string, rings array<array<struct<x double, y double>>>")
+    got = {(r.cell_id, r.i, r.j): r.share for r in grid.square_cells(b.where("iso = 'AAA'"), "iso", "region_id", "rings").collect()}
+    assert set(got) == {("AAA_1", 0, 0), ("AAA_2", 1, 0)} and got["AAA_1", 0, 0] == 1 and got["AAA_2", 1, 0] == 0
+    assert grid.square_cells(b, "iso", "region_id", "rings").where("code = 'BBB'").count() >= 2
