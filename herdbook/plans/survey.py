@@ -295,7 +295,7 @@ def cookie_buttons(spark: SparkSession, d: str) -> DataFrame:
 
 def site_link_table(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "site_pages").select("url", html.links(F.col("html")).alias("l"))
-    return classify.site_links(pages.groupBy("url").agg(F.max("l").alias("l")), "url", "l")
+    return classify.site_links(pages, "url", "l")
 
 
 def moran_of_residuals(spark: SparkSession, d: str) -> DataFrame:

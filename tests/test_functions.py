@@ -220,3 +220,11 @@ def test_square_cells_keep_slivers(spark):
     got = {(r.cell_id, r.i, r.j): r.share for r in grid.square_cells(b.where("iso = 'AAA'"), "iso", "region_id", "rings").collect()}
     assert set(got) == {("AAA_1", 0, 0), ("AAA_2", 1, 0)} and got["AAA_1", 0, 0] == 1 and got["AAA_2", 1, 0] == 0
     assert grid.square_cells(b, "iso", "region_id", "rings").where("code = 'BBB'").count() >= 2
+
+
+def test_links_of_a_page_fetched_twice(spark, tmp_path):
+    from herdbook.plans import survey
+
+    pages = [(1, "https://s.ch/", '<a href="/team">Team</a>'), (2, "https://s.ch/", '<a href="/preise">Preise</a>'), (3, "https://s.ch/", None)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/site_pages.parquet")
+    assert sorted(r.href for r in survey.site_link_table(spark, str(tmp_path)).collect()) == ["https://s.ch/preise", "https://s.ch/team"]
