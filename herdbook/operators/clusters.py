@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herdbook.operators.points import near_pairs
-from herdbook.runtime import cut
+from herdbook.runtime import cut, forget
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, a: str, b: str, rounds: int = 40) -> DataFrame:
     """(key, cluster): each node with the smallest key of its connected component; nodes without edges are their own.
 
     Large-star and small-star steps by turns: the number of rounds grows with the logarithm of a chain's length. Each round
-    is checkpointed; only a count comes to the driver. Stars are aggregated by minimum, never collected.
+    is checkpointed and the one before removed; only a count comes to the driver. Stars are aggregated by minimum, never collected.
     """
     e = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
@@ -28,6 +28,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, a: str, b: str, rou
         # done once every node has one edge, to a root that hangs from no other
         roots = new.select(F.col("u").alias("v")).distinct()
         open_ = new.join(roots, "v", "left_semi").limit(1).count() or new.groupBy("v").count().where("count > 1").limit(1).count()
+        forget(e)
         e = new
         if not open_:
             return nodes.select(key).join(e.groupBy(F.col("v").alias(key)).agg(F.min("u").alias("cluster")), key, "left").select(key, F.coalesce("cluster", key).alias("cluster"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +22,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder, with its lineage cut.
 
-    The folder is the one named in spark.checkpoint.dir; only where none is set (tests, a laptop) a temporary one is made.
+    The folder is the one named in spark.checkpoint.dir. Only in local mode (tests, a laptop) a temporary one is made where
+    none is set; on a cluster that would lose data with its machine, so there it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="herdbook-"))
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir isn't set: name a shared folder")
+            named = tempfile.mkdtemp(prefix="herdbook-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a DataFrame that cut() gave; for loops, once nothing reads it any more."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or plan.rdd().getCheckpointFile().isEmpty():
+        return
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
     """The keys with more than `rows` rows, and the number of salts (`salts`) each needs.
 
@@ -54,6 +72,24 @@ def salt_all(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("salts")
 
 
+def salt_both(a: DataFrame, b: DataFrame, keys: list[str], by_a: Column, by_b: Column, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a column `_salt`, so that no task gets more than about `rows` rows of a key from either side.
+
+    A key with m parts on one side and n on the other has m x n salts: each row stands in one part of its own side, with
+    every part of the other.
+    """
+    hot = hot_keys(a, keys, rows).withColumnRenamed("salts", "_sa").join(hot_keys(b, keys, rows).withColumnRenamed("salts", "_sb"), keys, "full")
+    hot = hot.select(*keys, F.coalesce("_sa", F.lit(1)).alias("_sa"), F.coalesce("_sb", F.lit(1)).alias("_sb"))
+    one = F.lit(1)
+
+    def side(df: DataFrame, by: Column, mine: str, other: str, salt) -> DataFrame:
+        n, m = F.coalesce(F.col(mine), one), F.coalesce(F.col(other), one)
+        own = F.pmod(F.xxhash64(by), n)
+        return df.join(hot, keys, "left").withColumn("_salt", F.explode(F.transform(F.sequence(F.lit(0), m - 1), lambda o: salt(own, o, n, m).cast("int")))).drop("_sa", "_sb")
+
+    return side(a, by_a, "_sa", "_sb", lambda own, o, n, m: own * m + o), side(b, by_b, "_sb", "_sa", lambda own, o, n, m: o * n + own)
+
+
 def parts(rows: int, each: int) -> int:
     """The number of parts of about `each` rows."""
     return max(1, math.ceil(rows / each))
