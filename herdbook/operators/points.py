@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdbook.runtime import hot_keys, salt_all, salt_one
+from herdbook.runtime import cut, hot_keys, salt_all, salt_one
 
 EARTH_M = 6_371_000.0
 
@@ -71,13 +71,15 @@ class Slabs:
     """The trapezoidal decomposition of the edges in one strip: slabs between the heights of all vertices, edges in order.
 
     In a slab no vertex lies, so the edges of a region are ordered from left to right as long as none cross; a run of
-    edges that do cross is marked and counted edge by edge.
+    edges that do cross is marked and counted edge by edge. Slabs end at the strip's own heights `low` and `high`: an edge
+    that runs far beyond the strip makes no slab there (its own coordinates stay whole, so crossings are exact).
     """
 
-    def __init__(self, region: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> None:
+    def __init__(self, region: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, low: float = -np.inf, high: float = np.inf) -> None:
         self.x1, self.y1, self.x2, self.y2 = x1, y1, x2, y2
-        self.heights = np.unique(np.concatenate([y1, y2]))
-        first, last = np.searchsorted(self.heights, y1), np.searchsorted(self.heights, y2)
+        bottom, top = np.maximum(y1, low), np.minimum(y2, high)
+        self.heights = np.unique(np.concatenate([bottom, top]))
+        first, last = np.searchsorted(self.heights, bottom), np.searchsorted(self.heights, top)
         spans = last - first
         edge = np.repeat(np.arange(len(x1)), spans)
         slab = np.repeat(first, spans) + np.arange(len(edge)) - np.repeat(np.cumsum(spans) - spans, spans)
@@ -105,13 +107,21 @@ class Slabs:
         return self.x1[edge] + (self.x2[edge] - self.x1[edge]) * (y - self.y1[edge]) / (self.y2[edge] - self.y1[edge])
 
     def locate(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the point, region) for each region that contains the point."""
+        """(index of the point, region) for each region that contains the point.
+
+        Points are taken by so many that the lists of candidate regions, and of crossed edges, stay below MOST_CELLS.
+        """
         slab = np.searchsorted(self.heights, y, "right") - 1
         inside = np.flatnonzero((slab >= 0) & (slab < len(self.heights) - 1))
-        begin, stop = self.slab_runs[slab[inside]], self.slab_runs[slab[inside] + 1]
-        n = stop - begin
-        point = np.repeat(inside, n)
-        run = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        load = np.cumsum(self.slab_runs[slab[inside] + 1] - self.slab_runs[slab[inside]]) // MOST_CELLS
+        found = [self._locate_some(part, slab[part], x, y) for part in np.split(inside, np.flatnonzero(np.diff(load)) + 1)] if len(inside) else []
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _locate_some(self, inside: np.ndarray, slab: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, stop = self.slab_runs[slab], self.slab_runs[slab + 1]
+        point, run = _ranges(inside, begin, stop - begin)
         keep = (self.run_min[run] - 1e-9 <= x[point]) & (x[point] <= self.run_max[run] + 1e-9)
         point, run = point[keep], run[keep]
         lo, hi = self.start[run].copy(), self.end[run].copy()
@@ -123,37 +133,63 @@ class Slabs:
             hi = np.where(open_ & right, mid, hi)
             lo = np.where(open_ & ~right, mid + 1, lo)
         crossings = self.end[run] - lo
-        for i in np.flatnonzero(self.crossed[run]):
-            es = self.edge[self.start[run[i]]:self.end[run[i]]]
-            crossings[i] = int((px[i] < self.at(es, np.full(len(es), py[i]))).sum())
+        crossed = np.flatnonzero(self.crossed[run])
+        load = np.cumsum(self.end[run[crossed]] - self.start[run[crossed]]) // MOST_CELLS
+        for part in np.split(crossed, np.flatnonzero(np.diff(load)) + 1) if len(crossed) else []:
+            which, at = _ranges(part, self.start[run[part]], self.end[run[part]] - self.start[run[part]])
+            crossings[part] = 0
+            np.add.at(crossings, which, (px[which] < self.at(self.edge[at], py[which])).astype(int))
         odd = crossings % 2 == 1
         return point[odd], self.run_region[run[odd]]
 
 
-def _locate(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    if not len(points) or not len(edges):
-        return pd.DataFrame({"key_a": pd.Series(dtype="int64"), "key_b": pd.Series(dtype="int64")})
-    slabs = Slabs(*(edges[c].to_numpy() for c in ("region", "x1", "y1", "x2", "y2")))
-    at, region = slabs.locate(points["x"].to_numpy(), points["y"].to_numpy())
-    return pd.DataFrame({"key_a": points["key"].to_numpy()[at], "key_b": region})
+#: How many (point, region) or (point, edge) candidates are held at a time.
+MOST_CELLS = 2_000_000
+
+
+def _ranges(owner: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, index) for each index from begin to begin + n of each owner."""
+    return np.repeat(owner, n), np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _locate_in(strip: float):
+    """For a tile: its points in the regions whose edges came along."""
+
+    def run(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(edges):
+            return pd.DataFrame({"key_a": pd.Series(dtype="int64"), "key_b": pd.Series(dtype="int64")})
+        low = float(edges["strip"].iloc[0]) * strip
+        slabs = Slabs(*(edges[c].to_numpy() for c in ("region", "x1", "y1", "x2", "y2")), low=low - 1e-9, high=low + strip + 1e-9)
+        at, region = slabs.locate(points["x"].to_numpy(), points["y"].to_numpy())
+        return pd.DataFrame({"key_a": points["key"].to_numpy()[at], "key_b": region})
+
+    return run
 
 
-def containing_regions(points: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region: str, rings: str, strip: float = 0.25) -> DataFrame:
+def containing_regions(points: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region: str, rings: str, strip: float = 0.25, tile: float = 2.0) -> DataFrame:
     """(key_a, key_b): each point with each region that it lies in (inside an odd number of the region's rings).
 
-    Edges are straight in longitude and latitude. Both sides are dealt to strips of `strip` degrees of latitude; strips
-    with many points are salted. In a task, the strip's edges become a trapezoidal decomposition (Slabs) and each point is
-    located by binary search among the edges of its slab. Rows without usable coordinates take no part; a region without
-    rings contains nothing. Keys must be integers.
+    Edges are straight in longitude and latitude. Both sides are dealt to strips of `strip` degrees of latitude and tiles of
+    `tile` degrees of longitude; in a strip a region's edges go to those tiles only that the region touches there, so edges
+    round the globe don't meet. Tiles with many points are salted. In a task, the edges become a trapezoidal decomposition of
+    the strip (Slabs) and each point is located by binary search among the edges of its slab. Rows without usable
+    coordinates take no part; a region without rings contains nothing. Keys must be integers.
     """
     p = points.where(usable_point(F.col(lat), F.col(lon))).select(
-        F.col(key).cast("bigint").alias("key"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"), F.floor(F.col(lat) / strip).cast("int").alias("strip"))
+        F.col(key).cast("bigint").alias("key"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"),
+        F.floor(F.col(lat) / strip).cast("int").alias("strip"), F.floor(F.col(lon) / tile).cast("int").alias("tile"))
     e = ring_edges(regions, region, rings).withColumn("region", F.col("region").cast("bigint"))
-    e = e.withColumn("strip", F.explode(F.sequence(F.floor(F.col("y1") / strip).cast("int"), F.floor(F.col("y2") / strip).cast("int"))))
-    hot = hot_keys(p, ["strip"], rows=50_000)
-    p, e = salt_one(p, hot, ["strip"], F.col("key")), salt_all(e, hot, ["strip"])
-    by = ["strip", "_salt"]
-    return p.groupBy(*by).cogroup(e.groupBy(*by)).applyInPandas(_locate, "key_a bigint, key_b bigint")
+    e = e.withColumn("strip", F.explode(F.sequence(F.floor((F.col("y1") - 1e-9) / strip).cast("int"), F.floor((F.col("y2") + 1e-9) / strip).cast("int"))))
+    at = lambda x: F.floor(x / tile).cast("int")
+    spans = e.groupBy("region", "strip").agg(at(F.min(F.least("x1", "x2")) - 1e-9).alias("west"), at(F.max(F.greatest("x1", "x2")) + 1e-9).alias("east"))
+    e = e.join(spans, ["region", "strip"]).withColumn("tile", F.explode(F.sequence("west", "east"))).drop("west", "east")
+    by = ["strip", "tile"]
+    # only tiles that hold points and edges become groups, those with many points several
+    both = cut(p.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(e.select(*by).distinct(), by, "left_semi").select(*by, F.ceil(F.col("_n") / 50_000).cast("int").alias("_salts")))
+    p = p.join(both, by).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("_salts")).cast("int")).drop("_salts")
+    e = e.join(both, by).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    by = [*by, "_salt"]
+    return p.groupBy(*by).cogroup(e.groupBy(*by)).applyInPandas(_locate_in(strip), "key_a bigint, key_b bigint")
 
 
 __all__ = ["EARTH_M", "Slabs", "containing_regions", "great_circle_m", "near_pairs", "ring_edges", "usable_point"]

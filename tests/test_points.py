@@ -94,3 +94,22 @@ def test_chain_is_one_cluster_in_any_order(spark):
         random.Random(seed).shuffle(rows)
         got = {r.k: r.cluster for r in near_clusters(spark.createDataFrame(rows, SCHEMA), "k", "lat", "lon").collect()}
         assert got == {**{i: 0 for i in range(6)}, 9: 9, 10: 10}
+
+
+def test_regions_wider_than_a_tile_and_edges_round_the_globe(spark):
+    ring = lambda *q: [{"x": float(x), "y": float(y)} for x, y in q]
+    regions = [(1, [ring((-170, -80), (170, -80), (170, 80), (-170, 80)), ring((-1, -1), (1, -1), (1, 1), (-1, 1))]), (2, [ring((0.5, 0.1), (9.7, 0.2), (5, 70.3))])]
+    r = spark.createDataFrame(regions, "rid bigint, rings array<array<struct<x:double,y:double>>>")
+    rng = np.random.default_rng(5)
+    p = [(int(i), float(y), float(x)) for i, (y, x) in enumerate(zip(rng.uniform(-85, 85, 400), rng.uniform(-180, 180, 400)))] + [(1000, 0.5, 0.5), (1001, 0.0, 1.0), (1002, 30.0, 5.0)]
+    got = {(a, b) for a, b in containing_regions(spark.createDataFrame(p, "k bigint, la double, lo double"), "k", "la", "lo", r, "rid", "rings").collect()}
+
+    def inside(rings, x, y):
+        n = 0
+        for q in rings:
+            for a, b in zip(q, q[1:] + q[:1]):
+                (x1, y1), (x2, y2) = sorted([(a["x"], a["y"]), (b["x"], b["y"])], key=lambda t: t[1])
+                n += y1 <= y < y2 and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+        return n % 2 == 1
+
+    assert got == {(k, rid) for k, y, x in p for rid, rings in regions if inside(rings, x, y)}
