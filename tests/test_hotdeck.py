@@ -24,3 +24,17 @@ def test_nobody_has_a_value_and_empty_table(spark):
     r = hot_deck(df, GAPS, DECK).collect()
     assert len(r) == 1 and not r[0].filled and r[0].tier == "none"
     assert hot_deck(df.where("false"), GAPS, DECK).count() == 0
+
+
+def test_the_copied_value_is_a_donor_s_own(spark):
+    rows = [(i, "a" if i < 3 else f"c{i}", "A", "X", 2015, 10.0 + i, None if i in (1, 5) else float(i), 11, "") for i in range(1, 9)]
+    for deck in (DECK, Deck("row_id", None, "area", "iso", "yr", ("pop",), classes=("urban",), k=3)):
+        for r in hot_deck(spark.createDataFrame(rows, SCHEMA), GAPS, deck).collect():
+            assert r.filled_value == float(r.donor) and r.donor in r.donors
+
+
+def test_a_hot_block_of_copies(spark):
+    n = 30_000  # alike donors beside as many gaps, all in one block
+    one = spark.range(n).selectExpr("id AS row_id", "concat('c', id) AS cell", "'A' AS area", "'X' AS iso", "2015 AS yr", "10.0D AS pop", "if(id % 2 = 0, 7.0D, null) AS gdp", "11 AS urban", "'' AS donors")
+    got = hot_deck(one, GAPS, Deck("row_id", "cell", "area", "iso", "yr", ("pop",), k=3)).groupBy("filled_value", "donors").count().collect()
+    assert [(r.filled_value, r.donors, r["count"]) for r in got] == [(7.0, [0, 2, 4], n // 2)]
