@@ -9,59 +9,53 @@ from pyspark.sql import functions as F
 from herdbook.runtime import cut, parts
 
 #: Items that one task packs at a time; with thousands of items a part's last, half-full container doesn't count.
-PART_ROWS = 25_000
+PART_ROWS = 8_192
 
 
-def best_fit(sizes: list[int], capacities: list[int], opens: str) -> tuple[list[int], list[int]]:
-    """(container of each item, content of each container) for sizes in falling order, none over the largest capacity.
+def best_fit(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int]]:
+    """(container of each item, capacity of each container) for sizes of 1 to the largest capacity.
 
-    Each item goes where it leaves the least space. If it fits nowhere a container is opened: of the largest capacity, of
-    the smallest that holds the item, or of the one at least cost, that is with the least space for the items still to come,
-    counted in multiples of the mean size of what follows.
+    The largest item left opens a container. Of all permitted capacities the one at least cost is opened: the cost is the
+    space that is left for certain, after the best-fitting set of the items still to come and after downsizing, by the
+    container's content. That set is found exactly, by the sums that the histogram of remaining sizes can reach (one bit
+    each), large sizes first, so small ones stay for later containers. Equal costs go to the larger capacity.
     """
-    mask, stacks = 0, {}
-    where, content, space = [], [], []
-    rest, left = sum(sizes), len(sizes)
-    for size in sizes:
-        rest, left = rest - size, left - 1
-        fits = mask >> size
-        if fits:
-            room = (fits & -fits).bit_length() - 1 + size
-            stack = stacks[room]
-            bin_ = stack.pop()
-            if not stack:
-                mask &= ~(1 << room)
-        else:
-            fitting = [c for c in capacities if c >= size]
-            if opens == "largest":
-                cap = fitting[-1]
-            elif opens == "smallest":
-                cap = fitting[0]
-            else:
-                mean = max(1.0, rest / left) if left else 1e9
-                cap = min(fitting, key=lambda c: ((c - size) % mean / c, -c))
-            bin_, room = len(content), cap
-            content.append(0)
-            space.append(cap)
-        where.append(bin_)
-        content[bin_] += size
-        space[bin_] = room = room - size
-        if room:
-            stacks.setdefault(room, []).append(bin_)
-            mask |= 1 << room
-    return where, content
-
-
-def pack_part(sizes: list[int], capacities: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """The best of three ways to open containers: (container of each item, content, capacity after downsizing)."""
-    best = None
-    for opens in ("largest", "least-cost", "smallest"):
-        where, content = best_fit(sizes, capacities, opens)
-        final = [next(c for c in capacities if c >= x) for x in content]
-        cost = (sum(final), len(final))
-        if best is None or cost < best[0]:
-            best = (cost, where, content, final)
-    return best[1], best[2], best[3]
+    items: dict[int, list[int]] = {}
+    for i in range(len(sizes) - 1, -1, -1):
+        items.setdefault(sizes[i], []).append(i)
+    order, top = sorted(items, reverse=True), capacities[-1]
+    where, final = [-1] * len(sizes), []
+    for at, size in enumerate(order):
+        while items[size]:
+            inside = [items[size].pop()]
+            room = top - size
+            full, sums, steps = (1 << room + 1) - 1, 1, []
+            for x in order[at:]:
+                n = min(len(items[x]), room // x)
+                if not n:
+                    continue
+                steps.append((x, sums))
+                copies = 1
+                while n > 0:
+                    sums |= (sums << x * min(copies, n)) & full
+                    n, copies = n - copies, copies * 2
+                if sums >> room & 1:
+                    break  # the largest capacity can be filled to the brim: nothing costs less
+            choices = []
+            for cap in capacities:
+                if cap >= size:
+                    fill = (sums & (1 << cap - size + 1) - 1).bit_length() - 1
+                    small = next(c for c in capacities if c >= size + fill)
+                    choices.append(((small - size - fill) / (size + fill), -cap, small, fill))
+            _, _, cap, fill = min(choices)
+            for x, before in reversed(steps):
+                while not before >> fill & 1:
+                    inside.append(items[x].pop())
+                    fill -= x
+            for i in inside:
+                where[i] = len(final)
+            final.append(cap)
+    return where, final
 
 
 def pack(sized: DataFrame, key: str, size: str, capacities: tuple[int, ...] = (256, 512, 1024, 2048), part_rows: int = PART_ROWS) -> DataFrame:
@@ -69,7 +63,7 @@ def pack(sized: DataFrame, key: str, size: str, capacities: tuple[int, ...] = (2
 
     An item larger than the largest capacity is split into pieces of that capacity and a rest; no other is. Items go to
     parts of about part_rows by a hash of their key, so equal sizes, hot sources and copies spread; each part is packed by
-    best fit in falling order, with the least-cost size opened, and each container is downsized to its contents at the end.
+    best_fit: all capacities are weighed jointly, the least-cost one is opened and downsized to its contents.
     Items of size 0 or null have one row with a null container. `container` is unique over all parts. An empty table gives
     none. Ties in size are packed in the order of keys, so that the result is the same on every run.
     """
@@ -83,7 +77,7 @@ def pack(sized: DataFrame, key: str, size: str, capacities: tuple[int, ...] = (2
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_n", "_k", "piece_no"], ascending=[False, True, True])
-        where, _, final = pack_part(part["_n"].tolist(), caps)
+        where, final = best_fit(part["_n"].tolist(), caps)
         placed = part.assign(container=[int(part["_part"].iloc[0]) * 2**40 + w for w in where], capacity=[final[w] for w in where])
         placed["place"] = placed.groupby("container")["_n"].cumsum() - placed["_n"]
         return placed[["_k", "piece_no", "start", "_n", "container", "capacity", "place"]]
