@@ -1,4 +1,6 @@
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +117,25 @@ def test_entities_lose_no_pair_that_scores(spark):
     every = entities._side(ra.join(chains, "host", "left"), "a").crossJoin(entities._side(rb, "b"))
     true = {(r.key_a, r.key_b) for r in entities._scored(every, entities.Weights()).where("score > 0").collect()}
     assert true == {(r.key_a, r.key_b) for r in entities.match(a, b).where("match").collect()}
+
+
+def test_truth_discovery_finds_planted_truths(spark):
+    rng = random.Random(4)
+    right = {"a": 0.92, "b": 0.88, "c": 0.35, "d": 0.35, "e": 0.35}
+    rows, truth = [], {}
+    for g in range(600):
+        truth[g] = f"v{rng.randrange(1000)}"
+        for s, p in right.items():
+            rows.append((g * 10 + ord(s), g, s, truth[g] if rng.random() < p else f"x{g}.{rng.randrange(2)}", None))
+    df = spark.createDataFrame(rows, "id bigint, grp bigint, origin string, name string, at timestamp")
+    prior = spark.createDataFrame([(s, 1) for s in right], "origin string, trust int")
+    run = lambda rounds: {r.grp: r.value for r in survivor.survivors(df, "grp", "id", "origin", prior, "trust", "at", [survivor.plain_field("name")], rounds=rounds).collect()}
+    share = lambda got: sum(got[g] == v for g, v in truth.items()) / len(truth)
+    known = {}  # the same vote with the true reliabilities
+    for g in truth:
+        w = {}
+        for _, h, s, v, _ in rows[g * 5:g * 5 + 5]:
+            w[v] = w.get(v, 0.0) - math.log(1 - right[s])
+        known[g] = max(w, key=w.get)
+    votes, found, best = share(run(0)), share(run(8)), share(known)
+    assert found > votes + 0.05 and found > best - 0.01, (votes, found, best)
