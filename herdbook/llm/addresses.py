@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata as U
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdbook.runtime import cut, hot_keys, salt_all, salt_one
+from herdbook.runtime import cut, hot_keys, salt_all, salt_both, salt_one
 
 # Words of addresses, with accents and doubled vowels folded as fold() does.
 COUNTRIES = """italia italy italien italie deutschland germany allemagne germania alemania france frankreich francia frankrijk espana spain spanien espagne spagna
@@ -32,7 +33,7 @@ _UNIT = re.compile(r"""\b(?:scala|batiment|bat\.|inngang|interno|int\.|local|uni
 |\b(?:postfach|case\spostale|casella\spostale|apartado|p\.?o\.?\sbox|postboks|postbus)\b(?:\s*\d{1,3}\b)?
 |\b\d{1,2}\s?(?:º|°|ª|er|eme|e|o|\.)?\s*(?:piso|etage|og|stock|etasje|flor|verdieping|piano)\b|\bhinterhaus\b|\bvorderhaus\b|\bbegane\sgrond\b|\bbajo(?:\s(?:izq|dcha)\b\.?)?|\berdgeschoss\b""", re.X)
 _CODE = re.compile(r"(?<![\w])(?:(?:d|a|ch|f|i|e|n|nl|nz|at|de|fr|it|es|no)-|nz\s)?(\d{4,5})(?:\s?([a-z]{2})(?![\w.]))?(?!\w)")
-_NUMBER = re.compile(r"(?:\b(?:nr|no|num|n)\s?[.º°]?\s*|[n]\s?[º°]\s*)?(?<![\w])(\d{1,4})(?:\s?([a-h])(?![\w'’./]))?(?!\w)")
+_NUMBER = re.compile(r"(?:\b(?:nr|no|num|n)\s?[.º°]?\s*|[n]\s?[º°]\s*)?(?<![\w])(\d{1,4})(?:([a-z])(?!\w)|\s([a-h])(?![\w'’./]))?(?!\w)")
 
 
 def fold(text: str) -> str:
@@ -73,7 +74,7 @@ def parse(address: str | None, plz: str | None, town: str | None) -> tuple[str,
     m = _NUMBER.search(text)
     if not m:
         return None
-    number = m[1].lstrip("0") + (m[2] or "")
+    number = m[1].lstrip("0") + (m[2] or m[3] or "")
     text = f"{text[: m.start()]} , {text[m.end():]}"
     text = re.sub(r"\b(?:nr|no|num|n)\s?[.°]|\bn°", " ", text)
     text = re.sub(r"-(?=(?:strasse|strase|str|gasse|gase|weg|wg|platz|pl)\b)", "", text)
@@ -122,17 +123,19 @@ def _two_words(a: Column, b: Column) -> Column:
     return (F.least(a, b) >= 3) & (F.least(a, b) * 20 > F.greatest(a, b))
 
 
-def same_address(df: DataFrame, key: str, address: str, plz: str, town: str, accept: float = 0.7) -> DataFrame:
-    """(key_a, key_b, score): pairs of records that denote the same street, house number and town, the smaller key first.
+def places(df: DataFrame, key: str, address: str, plz: str, town: str, accept: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(members: key, class; links: class_a, class_b, score): the spellings of addresses, and those that denote one location.
 
     Addresses are cut into house number with its letter, postal code, street type and words; floors, units, buildings,
-    boxes and countries are left out. Records that say the same become one class (all pairs of a class are given). Classes
-    are blocked on the number with the sorted digits of the postal code, and on the number with each of the three rarest
-    words that occur more than once. In a block, array_intersect gives the common words, levenshtein matches the rest.
-    Two classes are the same place if the street types agree, no word is left on both sides, the postal codes agree or
-    (where one is missing) the towns do, and the rarity-weighted share of matched words reaches `accept`.
-    A record's missing town is known through its postal code where other records give both. `key` must be unique.
-    Rows that hold no address (null, blank, without number) take no part. Word counts cover all rows; hot blocks are salted.
+    boxes and countries are left out. Records that say the same become one class (also
+    where nothing says which town it is in). Classes are blocked numbers first, so that every pair which can be accepted meets: those with a
+    postal code on both sides by house number and digit tokens (the code's sorted digits, and the code without one digit);
+    those with none on a side by house number and any one word; words that occur once also meet with a letter left out. So
+    a pair is only missed if no code stands on a side and each of its words is misspelt in a frequent way. In a block,
+    array_intersect gives the common words, levenshtein matches the rest. Two classes are the same place if the street types
+    agree, no word is left on both sides, the postal codes agree or (where one is missing) the towns do, and the
+    rarity-weighted share of matched words reaches `accept`. A record's missing town is known through its postal code where
+    other records give both. A rare short word that is one letter from an article or preposition is taken for that. Word counts cover all rows; hot words, blocks and classes are salted.
     """
     rows = cut(parsed(df, key, address, plz, town).withColumn("class", F.md5(F.concat_ws("|", "number", "code", "types", F.concat_ws(" ", "words")))))
     classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("number").alias("number"), F.first("code").alias("code"), F.first("types").alias("types"), F.first("words").alias("words"), F.max("towns").alias("towns"))
@@ -140,63 +143,87 @@ def same_address(df: DataFrame, key: str, address: str, plz: str, town: str, acc
     by_code = rows.where((F.col("code") != "") & (F.size("towns") > 0)).groupBy("code", F.concat_ws(" ", "towns").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     total = by_code.groupBy("code").agg(F.sum("n").alias("all"))
     implied = by_code.join(total, "code").where("n * 3 >= all AND n >= 2").groupBy("code").agg(F.collect_set("t").alias("implied"))  # three at most
-    classes = classes.join(implied, "code", "left")
+    classes = cut(classes.join(implied, "code", "left"))
     # rarity of words, and whether a word is a town's
     words = classes.select("class", "n", F.explode("words").alias("w"), "towns")
     stats = words.groupBy("w").agg(F.sum("n").alias("df"), (F.sum(F.when(F.array_contains("towns", F.col("w")), F.col("n")).otherwise(0)) / F.sum("n")).alias("town"))
     n_all = max(1, rows.count())
-    weighed = words.select("class", "w").join(stats, "w").groupBy("class").agg(
-        F.collect_list(F.struct("w", F.log(F.lit(1.0 + n_all) / F.col("df")).alias("weight"), (F.col("town") > 0.4).alias("town"), "df")).alias("ws"))
-    classes = cut(classes.drop("n").join(weighed, "class"))
-    rare = F.slice(F.array_sort(F.transform(F.filter("ws", lambda x: x.df > 1), lambda x: F.struct(x.df, x.w))), 1, 3)
-    blocks = F.concat(F.transform(rare, lambda x: x.w), F.when(F.col("code") != "", F.array(F.concat_ws("", F.array_sort(F.split("code", ""))))).otherwise(F.array().cast("array<string>")))
-    if_towns = F.flatten(F.transform(F.coalesce("implied", F.array().cast("array<string>")), lambda t: F.split(t, " ")))
-    keyed = classes.select("class", F.explode(F.array_distinct(F.concat(blocks, if_towns))).alias("b"), F.xxhash64("number", "b").alias("block"))
-    keyed = keyed.select("class", "block")
-    hot = hot_keys(keyed, ["block"], rows=2_000)
-    a = salt_one(keyed, hot, ["block"], F.col("class"))
-    b = salt_all(keyed.select(F.col("class").alias("class_b"), "block"), hot, ["block"])
-    pairs = a.join(b, ["block", "_salt"]).where("class < class_b").select(F.col("class").alias("class_a"), "class_b").distinct()
+    hot = hot_keys(words, ["w"])
+    letters = lambda x: F.array_sort(F.split(x, ""))
+    one_off = lambda x: (F.levenshtein(F.col("w"), F.lit(x)) <= 1) | (letters(F.col("w")) == letters(F.lit(x)))
+    slip = (F.length("w") <= 4) & (F.col("df") * 1000 <= n_all + 1000) & reduce(lambda a, b: a | b, (one_off(x) for x in sorted(SMALL_WORDS) if len(x) > 1))
+    stats = stats.select("w", F.struct("w", F.log(F.lit(1.0 + n_all) / F.col("df")).alias("weight"), (F.col("town") > 0.4).alias("town"), "df", slip.alias("slip")).alias("x"))
+    weighed = salt_one(words.select("class", "w"), hot, ["w"], F.col("class")).join(salt_all(stats, hot, ["w"]), ["w", "_salt"]).groupBy("class").agg(F.collect_list("x").alias("ws"))
+    classes = cut(classes.drop("n", "words", "towns").join(weighed, "class"))
+    keyed = lambda s, bare, rest: _keyed(classes, bare, rest).select(F.col("class").alias(f"class_{s}"), "block")
+    a, b = salt_both(keyed("a", "u", "v"), keyed("b", "uv", "u"), ["block"], F.col("class_a"), F.col("class_b"), 2_000)
+    met = a.join(b, ["block", "_salt"]).where("class_a <> class_b")
+    pairs = met.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct()
     side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("class", "number", "code", "types", "ws", "implied")))
-    both = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("number_a = number_b")
-    both = _judged(both).where(F.col("same") & (F.col("score") >= accept)).select("class_a", "class_b", "score")
-    members = rows.select("key", "class")
-    # one row for each pair of records: within a class, and across two that match
-    ca, cb = members.select(F.col("key").alias("ka"), F.col("class").alias("class_a")), members.select(F.col("key").alias("kb"), F.col("class").alias("class_b"))
-    across = both.join(ca, "class_a").join(cb, "class_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "score")
-    within = ca.join(cb.withColumnRenamed("class_b", "class_a"), "class_a").where("ka < kb").join(classes.where(_placed()).select(F.col("class").alias("class_a")), "class_a", "left_semi")
+    links = _judged(pairs.join(side("a"), "class_a").join(side("b"), "class_b").where("number_a = number_b")).where(F.col("same") & (F.col("score") >= accept)).select("class_a", "class_b", "score")
+    return rows.select("key", "class"), cut(links)
+
+
+def _keyed(classes: DataFrame, bare: str, rest: str) -> DataFrame:
+    """(class, block). Word blocks end in a letter that says whether the class has a postal code: `bare` and `rest` are the
+    letters written by those without and with one, so that two classes with codes don't meet by their words."""
+    digits = lambda x: F.concat_ws("", F.array_sort(F.split(x, "")))
+    less = F.transform(F.sequence(F.lit(1), F.length("code")), lambda i: F.concat(F.lit("-"), F.substring(F.col("code"), F.lit(1), i - 1), F.substring(F.col("code"), i + 1, F.length("code"))))
+    none = F.array().cast("array<string>")
+    coded = F.when(F.col("code") != "", F.concat(F.array(F.concat(F.lit("="), digits(F.col("code"))), F.concat(F.lit("-"), F.col("code"))), less)).otherwise(none)
+    typo = lambda x: F.when(x.df == 1, F.transform(F.sequence(F.lit(1), F.length(x.w)), lambda i: F.concat(F.substring(x.w, F.lit(1), i - 1), F.substring(x.w, i + 1, F.length(x.w))))).otherwise(none)
+    said = F.concat(F.transform("ws", lambda x: x.w), F.flatten(F.transform("ws", typo)), F.flatten(F.transform(F.coalesce("implied", none), lambda t: F.split(t, " "))))
+    mark = F.when(F.col("code") == "", F.array(*map(F.lit, bare))).otherwise(F.array(*map(F.lit, rest)))
+    worded = F.flatten(F.transform(said, lambda w: F.transform(mark, lambda m: F.concat(w, F.lit(" "), m))))
+    return classes.select("class", F.explode(F.array_distinct(F.concat(coded, worded))).alias("b"), "number").select("class", F.xxhash64("number", "b").alias("block"))
+
+
+def same_address(df: DataFrame, key: str, address: str, plz: str, town: str, accept: float = 0.7) -> DataFrame:
+    """(key_a, key_b, score): pairs of records that denote the same street, house number and town, the smaller key first.
+
+    The pairs of `places`, spelled out for records: all of one class, and across two that are linked. `key` must be unique.
+    Rows that hold no address (null, blank, without number) take no part. Frequent classes are salted.
+    """
+    members, links = places(df, key, address, plz, town, accept)
+    one, two = members.select(F.col("key").alias("ka"), F.col("class").alias("class_a")), members.select(F.col("key").alias("kb"), F.col("class").alias("class_b"))
+    hot = cut(hot_keys(one, ["class_a"]))
+    left = salt_one(one, hot, ["class_a"], F.col("ka")).join(salt_all(links, hot, ["class_a"]), ["class_a", "_salt"]).drop("_salt")
+    hot_b = hot.withColumnRenamed("class_a", "class_b")
+    across = salt_all(left, hot_b, ["class_b"]).join(salt_one(two, hot_b, ["class_b"], F.col("kb")), ["class_b", "_salt"]).select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "score")
+    a, b = salt_both(one, two.withColumnRenamed("class_b", "class_a"), ["class_a"], F.col("ka"), F.col("kb"))
+    within = a.join(b, ["class_a", "_salt"]).where("ka < kb")
     return across.unionByName(within.select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), F.lit(1.0).alias("score")))
 
 
-def _placed() -> Column:
-    """True if a class says where it is: by a postal code, or a word known as a town's."""
-    return (F.col("code") != "") | F.exists("ws", lambda x: x.town)
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: a generator, into which the optimizer doesn't copy what is read from it."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def _judged(both: DataFrame) -> DataFrame:
-    """Pairs of classes with `same` and `score`."""
+    """Pairs of classes with `same` and `score`. Tests of types and codes, which need no words, come first."""
     names = lambda x: F.transform(x, lambda w: w.w)
-    common = F.array_intersect(names(F.col("ws_a")), names(F.col("ws_b")))
-    both = both.withColumn("common", common)
+    has = lambda s: F.col(f"code_{s}") != ""
+    two_codes = has("a") & has("b")
+    sorted_code = lambda s: F.array_sort(F.split(f"code_{s}", ""))
+    near_code = (sorted_code("a") == sorted_code("b")) | (F.levenshtein("code_a", "code_b") <= 1)
+    types = F.arrays_overlap(F.split("types_a", " "), F.split("types_b", " ")) | (F.col("types_a") == "") | (F.col("types_b") == "")
+    both = both.where(types & (~two_codes | (F.col("code_a") == F.col("code_b")) | near_code))
+    both = _once(both, common=F.array_intersect(names(F.col("ws_a")), names(F.col("ws_b"))))
     rest = lambda s: F.filter(f"ws_{s}", lambda x: ~F.array_contains("common", x.w))
-    both = both.withColumn("rest_a", rest("a")).withColumn("rest_b", rest("b"))
+    both = _once(both, rest_a=rest("a"), rest_b=rest("b"))
     match = lambda x, other: F.exists(f"rest_{other}", lambda y: _close(x.w, y.w) & ~_two_words(x.df, y.df))
-    both = both.withColumn("left_a", F.filter("rest_a", lambda x: ~match(x, "b"))).withColumn("left_b", F.filter("rest_b", lambda x: ~match(x, "a")))
+    both = _once(both, left_a=F.filter("rest_a", lambda x: ~x.slip & ~match(x, "b")), left_b=F.filter("rest_b", lambda x: ~x.slip & ~match(x, "a")))
     matched = lambda s: F.filter(f"ws_{s}", lambda x: ~F.exists(f"left_{s}", lambda y: y.w == x.w))
-    both = both.withColumn("got_a", matched("a")).withColumn("got_b", matched("b"))
+    both = _once(both.where((F.size("left_a") == 0) | (F.size("left_b") == 0)), got_a=matched("a"), got_b=matched("b"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.weight)
     town_met = F.exists("got_a", lambda x: x.town) | F.exists("got_b", lambda x: x.town)
     street_met = (F.size(F.filter("got_a", lambda x: ~x.town)) > 0) | (F.size(F.filter("got_b", lambda x: ~x.town)) > 0)
-    has = lambda s: F.col(f"code_{s}") != ""
-    two_codes = has("a") & has("b")
-    sorted_code = lambda s: F.array_sort(F.split(f"code_{s}", ""))
-    near_code = (sorted_code("a") == sorted_code("b")) | (F.levenshtein("code_a", "code_b") <= 1)
     codes = (F.col("code_a") == F.col("code_b")) | (near_code & town_met)
     # a town on one side only that the other side's postal code stands for
     stands = lambda s, o: F.exists(F.coalesce(f"implied_{s}", F.array().cast("array<string>")), lambda t: (F.size(F.array_intersect(F.split(t, " "), names(F.col(f"ws_{o}")))) == F.size(F.split(t, " "))))
     through = (~has("b") & stands("a", "b")) | (~has("a") & stands("b", "a"))
     where = (two_codes & codes) | (~two_codes & (town_met | through))
-    types = F.arrays_overlap(F.split("types_a", " "), F.split("types_b", " ")) | (F.col("types_a") == "") | (F.col("types_b") == "")
     n_a, n_b = F.size("left_a"), F.size("left_b")
     towns_of = lambda s: F.exists(f"ws_{s}", lambda x: x.town)
     # words left on one side only are its town: the other side must have none, and the place be known otherwise
@@ -205,4 +232,4 @@ def _judged(both: DataFrame) -> DataFrame:
     # of each side, the rarity-weighted share of words met; one met by levenshtein only counts three quarters
     exact = lambda s: F.filter(f"got_{s}", lambda x: F.array_contains("common", x.w))
     share = lambda s: (0.75 * total(f"got_{s}") + 0.25 * total(exact(s))) / F.greatest(F.lit(1e-9), total(f"ws_{s}"))
-    return both.withColumn("same", where & types & words & street_met).withColumn("score", F.greatest(share("a"), share("b")))
+    return _once(both.where(where & words & street_met), same=F.lit(True), score=F.greatest(share("a"), share("b")))
