@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdbook.runtime import cut
+from herdbook.runtime import cut, hot_keys, salt_all, salt_both, salt_one
 
 #: Letters of other scripts drawn like a Latin letter, by Unicode's notion of confusables.
 LOOK_ALIKES = {
@@ -120,14 +120,21 @@ def one_form(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame
     Blanks of any kind become U+0020, one for one; invisible characters and carriage returns vanish; line feeds stay.
     Superscripts, fractions, circled and mathematical letters look different and are left alone, as are Hangul jamo.
     """
+    return _forms(df, key, text, out).drop("_m").withColumnRenamed("_k", key)
+
+
+def _forms(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """(_k, out, _m): one_form's texts, with a hash of the text as it was."""
     rows = mapping_rows()
     active = _active(rows)
     docs = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    spelling = F.md5("_t").alias("_m")
     inert = active[1:]
-    changes = F.coalesce(F.col("_t").rlike(f"[{active}]"), F.lit(False))
+    plain = r"[\n -~]"  # always inert, and tested by one comparison
+    changes = F.coalesce(~F.col("_t").rlike(rf"\A(?:{plain}++|[{inert}])*+\z"), F.lit(False))
     # a piece: characters that may change with the one before them, or a stretch that can't
-    pieces = F.regexp_extract_all("_t", F.lit(f"[{inert}]?[{active}]++|(?:[{inert}](?![{active}]))++"), F.lit(0))
-    split = F.transform(pieces, lambda p: F.when(p.rlike(f"[{active}]"), F.split(p, "")).otherwise(F.array(p)))
+    pieces = F.regexp_extract_all("_t", F.lit(f"[{inert}]?[{active}]++|(?:{plain}(?={plain})|[{inert}](?![{active}]))++"), F.lit(0))
+    split = F.transform(pieces, lambda p: F.when(F.right(p, F.lit(1)).rlike(f"[{active}]"), F.split(p, "")).otherwise(F.array(p)))
     points = docs.where(changes).repartition("_k").select("_k", F.posexplode(split).alias("_piece", "_cs")).select("_k", "_piece", F.posexplode("_cs").alias("_pos", "_c"))
     table = df.sparkSession.createDataFrame(rows, "_from string, _to array<struct<c:string,cc:int>>")
     to = F.coalesce("_to", F.array(F.struct(F.col("_c").alias("c"), F.lit(0).alias("cc"))))
@@ -140,8 +147,8 @@ def one_form(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame
         F.array_sort(F.collect_list(F.when(F.col("cc") > 0, F.struct("cc", "_pos", "_i", "c")))).alias("marks"))
     whole = F.when(F.size("marks") == 0, F.col("base")).otherwise(_composed(F.col("base"), F.col("marks")))
     built = clusters.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_piece", "_at", whole.alias("s")))).alias("a"))
-    built = docs.where(changes).select("_k").join(built, "_k", "left").select("_k", F.coalesce(F.array_join(F.transform("a", lambda x: x.s), ""), F.lit("")).alias(out))
-    return docs.where(~changes).select("_k", F.col("_t").alias(out)).unionByName(built).withColumnRenamed("_k", key)
+    built = docs.where(changes).select("_k", spelling).join(built, "_k", "left").select("_k", F.coalesce(F.array_join(F.transform("a", lambda x: x.s), ""), F.lit("")).alias(out), "_m")
+    return docs.where(~changes).select("_k", F.col("_t").alias(out), spelling).unionByName(built)
 
 
 def _composed(base: Column, marks: Column) -> Column:
@@ -156,14 +163,30 @@ def _composed(base: Column, marks: Column) -> Column:
     return F.concat(end.base, end.rest)
 
 
+def looks(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members: key, look, spelling; links: look, spelling_a, spelling_b) of the texts that occur in several spellings of one form.
+
+    look and spelling are hashes of the form and of the text as it is; identical texts are one spelling. Null and blank texts
+    take no part.
+    """
+    forms = _forms(df, key, text, "_form").where(F.trim("_form") != "").select(F.col("_k").alias(key), F.sha2("_form", 256).alias("look"), F.col("_m").alias("spelling"))
+    forms = cut(forms)  # hashes only
+    mixed = forms.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
+    members = cut(forms.join(mixed, "look", "left_semi").select(key, "look", "spelling"))
+    each = members.select("look", "spelling").distinct()
+    a, b = salt_both(each.withColumnRenamed("spelling", "spelling_a"), each.withColumnRenamed("spelling", "spelling_b"), ["look"], F.col("spelling_a"), F.col("spelling_b"))
+    return members, a.join(b, ["look", "_salt"]).where("spelling_a < spelling_b").select("look", "spelling_a", "spelling_b")
+
+
 def same_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b): pairs whose texts have the same form but aren't the same string, the smaller key first.
 
-    Null and blank texts take no part. Only forms that occur with two strings or more are joined.
+    The links of `looks`, spelled out for rows; frequent spellings are salted. Null and blank texts take no part.
     """
-    forms = df.select(key, text).join(one_form(df, key, text, "_form"), key).where(F.trim("_form") != "")
-    forms = forms.select(F.col(key).alias("_k"), F.sha2("_form", 256).alias("_f"), F.md5(text).alias("_m"))
-    mixed = forms.groupBy("_f").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).where("lo <> hi").select("_f")
-    some = cut(forms.join(mixed, "_f", "left_semi").select("_k", "_f", "_m"))
-    a, b = some.select(F.col("_k").alias("key_a"), "_f", F.col("_m").alias("m_a")), some.select(F.col("_k").alias("key_b"), "_f", F.col("_m").alias("m_b"))
-    return a.join(b, "_f").where("key_a < key_b AND m_a <> m_b").select("key_a", "key_b")
+    members, links = looks(df, key, text)
+    hot = cut(hot_keys(members, ["spelling"]))
+    one = lambda s: members.select(F.col(key).alias(f"_{s}"), F.col("spelling").alias(f"spelling_{s}"))
+    for s in "ab":
+        by, h = [f"spelling_{s}"], hot.withColumnRenamed("spelling", f"spelling_{s}")
+        links = salt_all(links, h, by).join(salt_one(one(s), h, by, F.col(f"_{s}")), [*by, "_salt"]).drop("_salt")
+    return links.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b"))
