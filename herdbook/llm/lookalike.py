@@ -44,7 +44,7 @@ def _spread(ch: str) -> str:
     return ch
 
 
-def mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
+def mapping_rows(look_alikes: dict[str, str] = LOOK_ALIKES) -> list[tuple[str, list[tuple[str, int]]]]:
     """(character, [(character of its consistent form, combining class)]) for every character that changes or combines.
 
     Bounded by Unicode: some ten thousand rows, whatever the data. Hangul syllables stay as they are.
@@ -62,13 +62,13 @@ def mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
         elif cat in ("Zl", "Zp") or cp == 0x85:
             rows.append((ch, [("\n", 0)]))
         else:
-            to = "".join(LOOK_ALIKES.get(c, c) for c in _spread(ch))
+            to = "".join(look_alikes.get(c, c) for c in _spread(ch))
             if to != ch or U.combining(ch):
                 rows.append((ch, [(c, U.combining(c)) for c in to]))
     return rows + [("\r", []), ("\t", [(" ", 0)]), ("\x0b", [(" ", 0)]), ("\x0c", [(" ", 0)])]
 
 
-def composition_pairs() -> dict[str, str]:
+def composition_pairs(look_alikes: dict[str, str] = LOOK_ALIKES) -> dict[str, str]:
     """Base and mark -> composed character, for all canonical compositions of two that have a mark in second place."""
     pairs = {}
     for cp in range(0xC0, sys.maxunicode + 1):
@@ -77,7 +77,7 @@ def composition_pairs() -> dict[str, str]:
         if d and not d.startswith("<") and cp not in _HANGUL:
             parts = [chr(int(x, 16)) for x in d.split()]
             if len(parts) == 2 and U.combining(parts[1]) and U.normalize("NFC", ch) == ch:
-                pairs["".join(LOOK_ALIKES.get(p, p) for p in parts)] = ch
+                pairs["".join(look_alikes.get(p, p) for p in parts)] = ch
     for pair, ch in list(pairs.items()):  # of look-alike bases the Latin one wins
         base, mark = pair
         latin = U.normalize("NFC", base + mark)
@@ -109,7 +109,7 @@ def _active(rows: list[tuple[str, list[tuple[str, int]]]]) -> str:
     return "^" + _class([cp for block in _KNOWN for cp in block if stays(chr(cp))])
 
 
-def one_form(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
+def one_form(df: DataFrame, key: str, text: str, out: str = "form", look_alikes: dict[str, str] = LOOK_ALIKES) -> DataFrame:
     """(key, out): each text in its one form; null stays null, '' stays ''. `key` must be unique.
 
     Texts that hold no character that may change are their own form and pass by. In the others, stretches of such
@@ -117,15 +117,16 @@ def one_form(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame
     Unicode-bounded) table of decompositions and look-alikes; combining marks are put behind their base in the order of
     combining classes; base and marks are composed where Unicode has a composed letter; the text is rebuilt by position.
     Only texts are shuffled, to group by key; all later steps keep that partitioning.
-    Blanks of any kind become U+0020, one for one; invisible characters and carriage returns vanish; line feeds stay.
+    `look_alikes` (character -> what it looks like) is a parameter: the default knows Cyrillic, Greek, some Armenian letters
+    and punctuation; a longer table, such as Unicode's confusables, can be given. Blanks of any kind become U+0020, one for one; invisible characters and carriage returns vanish; line feeds stay.
     Superscripts, fractions, circled and mathematical letters look different and are left alone, as are Hangul jamo.
     """
-    return _forms(df, key, text, out).drop("_m").withColumnRenamed("_k", key)
+    return _forms(df, key, text, out, look_alikes).drop("_m").withColumnRenamed("_k", key)
 
 
-def _forms(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+def _forms(df: DataFrame, key: str, text: str, out: str, look_alikes: dict[str, str]) -> DataFrame:
     """(_k, out, _m): one_form's texts, with a hash of the text as it was."""
-    rows = mapping_rows()
+    rows = mapping_rows(look_alikes)
     active = _active(rows)
     docs = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     spelling = F.md5("_t").alias("_m")
@@ -145,15 +146,15 @@ def _forms(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
     clusters = points.groupBy("_k", "_piece", "_at").agg(
         F.coalesce(F.max(F.when(F.col("cc") == 0, F.col("c"))), F.lit("")).alias("base"),
         F.array_sort(F.collect_list(F.when(F.col("cc") > 0, F.struct("cc", "_pos", "_i", "c")))).alias("marks"))
-    whole = F.when(F.size("marks") == 0, F.col("base")).otherwise(_composed(F.col("base"), F.col("marks")))
+    whole = F.when(F.size("marks") == 0, F.col("base")).otherwise(_composed(F.col("base"), F.col("marks"), look_alikes))
     built = clusters.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_piece", "_at", whole.alias("s")))).alias("a"))
     built = docs.where(changes).select("_k", spelling).join(built, "_k", "left").select("_k", F.coalesce(F.array_join(F.transform("a", lambda x: x.s), ""), F.lit("")).alias(out), "_m")
     return docs.where(~changes).select("_k", F.col("_t").alias(out), spelling).unionByName(built)
 
 
-def _composed(base: Column, marks: Column) -> Column:
+def _composed(base: Column, marks: Column, look_alikes: dict[str, str]) -> Column:
     """A base and its ordered marks, composed: each mark that isn't blocked joins the base if there is a composed letter."""
-    pairs = F.create_map(*(F.lit(x) for kv in sorted(composition_pairs().items()) for x in kv))
+    pairs = F.create_map(*(F.lit(x) for kv in sorted(composition_pairs(look_alikes).items()) for x in kv))
 
     def step(a: Column, m: Column) -> Column:
         made = F.when((a.rest == "") | (a.last < m.cc), F.try_element_at(pairs, F.concat(a.base, m.c)))
@@ -163,13 +164,13 @@ def _composed(base: Column, marks: Column) -> Column:
     return F.concat(end.base, end.rest)
 
 
-def looks(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def looks(df: DataFrame, key: str, text: str, look_alikes: dict[str, str] = LOOK_ALIKES) -> tuple[DataFrame, DataFrame]:
     """(members: key, look, spelling; links: look, spelling_a, spelling_b) of the texts that occur in several spellings of one form.
 
     look and spelling are hashes of the form and of the text as it is; identical texts are one spelling. Null and blank texts
     take no part.
     """
-    forms = _forms(df, key, text, "_form").where(F.trim("_form") != "").select(F.col("_k").alias(key), F.sha2("_form", 256).alias("look"), F.col("_m").alias("spelling"))
+    forms = _forms(df, key, text, "_form", look_alikes).where(F.trim("_form") != "").select(F.col("_k").alias(key), F.sha2("_form", 256).alias("look"), F.col("_m").alias("spelling"))
     forms = cut(forms)  # hashes only
     mixed = forms.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
     members = cut(forms.join(mixed, "look", "left_semi").select(key, "look", "spelling"))

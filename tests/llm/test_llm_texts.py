@@ -57,6 +57,18 @@ def test_languages_mend_labels_and_mixed_texts(spark):
     assert {r.label_lang for r in rows if r.doc_id < 150} <= {"de", "en", "fr", None}
 
 
+def test_strange_languages_and_calibration(spark):
+    strange = "qwx vzzk plorgh jjuq wrrtx kqpz xvvl zzxq hjjk gwpq bvcx mnqz rrwq"
+    rows = language.languages(docs(spark, [s for s in SENTENCES.values()] * 5 + [strange], [*SENTENCES] * 5 + ["de"]), "doc_id", "text", "lang").collect()
+    last = max(rows, key=lambda r: r.doc_id)
+    assert last.seg_lang == "de"  # its words are in the model: the label names them
+    rows = language.languages(docs(spark, [s for s in SENTENCES.values()] * 5 + [strange], [*SENTENCES] * 5 + [None]), "doc_id", "text", "lang").collect()
+    last = max(rows, key=lambda r: r.doc_id)
+    assert (last.seg_lang, last.confidence, last.doc_lang) == ("und", 0.0, "und")
+    sure = language.calibrated([(0, 100, 40), (1, 100, 30), (5, 100, 60), (20, 1000, 900)])
+    assert sure == sorted(sure) and abs(sure[0] - 0.35 / 0.9) < 0.02 and sure[20] > 0.99
+
+
 def test_languages_without_labels_or_rows(spark):
     rows = language.languages(docs(spark, ["a b\n\nc", None]), "doc_id", "text", "lang").collect()
     assert [(r.seg_no, r.seg_lang) for r in rows] == [(0, "und"), (2, "und")]
