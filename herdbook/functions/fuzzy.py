@@ -42,6 +42,33 @@ def best_window(a: str | None, b: str | None) -> float:
     return max(indel_ratio(a, b[max(0, i):i + n]) for i in range(1 - n, len(b)))
 
 
+def reaches(word: str, text: str, percent: float) -> bool:
+    """best_window(word, text) >= percent, for a word no longer than the text, looking only where it can be.
+
+    A window of m' <= m letters at a ratio r shares at least r (m + m') / 2 letters, so word and window differ by at most
+    `most` letters left out or put in. Of most + 1 parts of the word one stands in the window unbroken: windows are only tried
+    around such parts. Below one letter a part every window is tried.
+    """
+    if not word or not text:
+        return False
+    if len(word) > len(text):
+        return best_window(word, text) >= percent
+    if word in text:
+        return True
+    m = len(word)
+    most = int(2 * m * (1 - percent / 100) / (percent / 100) + 1e-9)
+    if most + 1 > m:
+        return best_window(word, text) >= percent
+    cuts = [m * i // (most + 1) for i in range(most + 2)]
+    starts: set[int] = set()
+    for a, b in zip(cuts, cuts[1:]):
+        at = text.find(word[a:b])
+        while at >= 0:
+            starts.update(range(at - a - most, at - a + most + 1))
+            at = text.find(word[a:b], at + 1)
+    return any(indel_ratio(word, text[max(0, i):i + m]) >= percent for i in starts if 1 - m <= i < len(text))
+
+
 def _sorted_tokens(t: str | None) -> str | None:
     return None if t is None else " ".join(sorted(t.split()))
 
@@ -84,6 +111,15 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return _partial(a, b)
 
 
+def any_partial_ratio(x: Column, words: list[str], percent: int) -> Column:
+    """True if one of the words has a partial_ratio() of at least `percent` with x; false for null."""
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and any(reaches(w, t, percent) for w in words) for t in texts], dtype=bool)
+
+    return run(x)
+
+
 def share_contained(a: Column, b: Column) -> Column:
     """How much of a lies in blocks that match b, 0 to 1 (not symmetric)."""
     return _blocks(a, b)

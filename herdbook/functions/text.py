@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 #: What a missing value is written as, in any case.
 SENTINELS = ("", "none", "null", "nan")
-#: Signs of an error page or a bot check.
-ERROR_SIGNS = ("404 not found", "403 forbidden", "500 internal server error", "502 bad gateway", "503 service unavailable", "access denied", "page not found", "site can't be reached", "domain is for sale", "account suspended", "under construction")
-BOT_SIGNS = ("captcha", "are you a robot", "verify you are human", "checking your browser", "unusual traffic", "enable javascript")
+#: Patterns of error pages, then of bot checks, in lower case; a text that holds one isn't content.
+INVALID = (
+    "error scraping content", "no content saving", "no content", "<!doctype html>", "404 not found", "page not found", "document not found", "the resource requested could not be found",
+    "diese seite wurde nicht gefunden", "seite nicht gefunden", "page introuvable",
+    "verifying you are human", "enable javascript and cookies", "cloudflare", "waiting for .* to respond", "performance & security by cloudflare", "ray id",
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -90,9 +93,9 @@ def keyword_score(x: Column, weights: dict[str, int]) -> Column:
     return total
 
 
-def valid_content(x: Column, least: int = 200) -> Column:
-    """True for a text of `least` characters or more that isn't an error page or a bot check."""
-    return F.coalesce((F.length(strip(x)) >= least) & ~contains_any(F.lower(x), [*ERROR_SIGNS, *BOT_SIGNS]), F.lit(False))
+def valid_content(x: Column, least: int = 200, invalid: tuple[str, ...] = INVALID) -> Column:
+    """True for a text of `least` characters or more, the blanks around it aside, that holds none of the patterns; false for null."""
+    return F.coalesce((F.length(strip(x)) >= least) & ~F.lower(x).rlike("|".join(f"(?:{p})" for p in invalid)), F.lit(False))
 
 
 def visible(x: Column, least: int = 300) -> Column:
@@ -113,3 +116,25 @@ def token_estimate(n_tokens: Column, messages: int = 1) -> Column:
 def image_tokens(width: Column, height: Column, per_megapixel: int = 85) -> Column:
     """Tokens of an image by its size."""
     return F.round(width * height / 1e6 * per_megapixel).cast("int")
+
+
+def label_number(x: Column, numbers: dict[str, int], otherwise: int | None = None) -> Column:
+    """The number of a label; `otherwise` for labels without one, null included."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in sorted(numbers.items()) for v in kv)), x), F.lit(otherwise).cast("int"))
+
+
+def falsy_coalesce(*x: Column) -> Column:
+    """The first of the columns that is neither null nor ''."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in x))
+
+
+def stop_word_language(x: Column, stop_words: dict[str, list[str]]) -> Column:
+    """The language whose stop words (code -> words) make up most of a text's words; ties go to the first code, null without any.
+
+    A vote in the JVM, without a model; for the trained classifier see the training-data operators.
+    """
+    words = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}']+"), F.lit(0))
+    said = lambda some: F.size(F.filter(words, lambda w: w.isin(some)))
+    votes = [F.struct(said(some).alias("n"), F.lit(-i).alias("at"), F.lit(code).alias("code")) for i, (code, some) in enumerate(sorted(stop_words.items()))]
+    best = F.array_max(F.array(*votes))
+    return F.when(best["n"] > 0, best["code"])

@@ -9,7 +9,7 @@ from herdbook.functions.text import contains_any, null_if_sentinel, strip
 
 #: Endings of files that aren't pages.
 BINARY_ENDINGS = ("pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "mp3", "mp4", "avi", "mov", "exe")
-#: Hosts that list practices but belong to none.
+#: A short list of hosts that list practices but belong to none; a caller's own table is given as `blocked`.
 BLOCKED = ("facebook", "instagram", "linkedin", "youtube", "twitter", "tiktok", "yelp", "tripadvisor", "wikipedia", "google", "bing", "localsearch", "pagesjaunes", "paginegialle", "gelbeseiten", "tel")
 
 
@@ -50,16 +50,27 @@ def is_binary(url: Column) -> Column:
     return F.coalesce(F.lower(path(url)).rlike(r"\.(?:" + "|".join(BINARY_ENDINGS) + ")$"), F.lit(False))
 
 
+def is_binary_target(url: Column) -> Column:
+    """True if the path with its query ends like a file that isn't a page: '/page?file=a.pdf' does, too."""
+    return F.coalesce(F.lower(F.regexp_replace(F.regexp_replace(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"#.*$|\s+$", "")).rlike(r"\.(?:" + "|".join(BINARY_ENDINGS) + ")$"), F.lit(False))
+
+
+def last_part(url: Column) -> Column:
+    """The last part of the path that isn't empty, in lower case; '' for a root."""
+    return F.lower(F.regexp_extract(path(url), r"([^/]*)/*$", 1))
+
+
 def top_level(url: Column) -> Column:
     """The host's last label."""
     return F.element_at(F.split(host(url), r"\."), -1)
 
 
-def clean(url: Column, country: str | None = None, resolves: Column | None = None) -> Column:
+def clean(url: Column, country: str | None = None, resolves: Column | None = None, with_query: bool = False) -> Column:
     """A usable website in lower case, or null.
 
     Null: sentinels, other schemes than http(s), hosts without a dot, hosts that don't resolve (`resolves`, a column of a
-    lookup table, if given), two-letter top levels other than the country's. A file's URL becomes its home page.
+    lookup table, if given), two-letter top levels other than the country's. A file's URL becomes its home page; with
+    `with_query` the ending is looked for behind the query.
     """
     u = null_if_sentinel(strip(url))
     ok = scheme(u).isin("http", "https") & F.contains(host(u), F.lit("."))
@@ -67,7 +78,7 @@ def clean(url: Column, country: str | None = None, resolves: Column | None = Non
         ok &= ~((F.length(top_level(u)) == 2) & (top_level(u) != country))
     if resolves is not None:
         ok &= F.coalesce(resolves, F.lit(False))
-    return F.when(ok, F.when(is_binary(u), homepage(u)).otherwise(F.lower(u)))
+    return F.when(ok, F.when(is_binary_target(u) if with_query else is_binary(u), homepage(u)).otherwise(F.lower(u)))
 
 
 def labels(url: Column) -> Column:

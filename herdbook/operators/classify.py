@@ -5,27 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdbook.functions.fuzzy import may_reach, partial_ratio, ratio, share_contained
+from herdbook.functions.fuzzy import any_partial_ratio, may_reach, ratio, share_contained
 from herdbook.functions.text import contains_any, keyword_score, null_if_blank
+from herdbook.functions.url import joined
 
 PEOPLE = "array<struct<Name:string,Gender:string,Role:string,Uncertain:boolean>>"
-#: What a team page's words weigh (others that are keywords: 3).
+#: What a team page's words weigh unless the caller gives a table of weights.
 TEAM_WEIGHTS = {"team": 20, "équipe": 20, "equipo": 20, "squadra": 20, "unser team": 25, "tierarzt": 5, "tierärztin": 5, "vétérinaire": 5, "veterinaria": 5, "veterinario": 5, "vet": 5, "praxis": 3, "doctor": 5, "dokter": 5}
 
 
-#: Words on buttons that accept cookies.
-COOKIE_WORDS = ("accept", "agree", "allow", "akzeptieren", "annehmen", "zustimmen", "accepter", "accetta", "aceptar", "toestaan", "einverstanden")
+#: Words on buttons that accept cookies, by language.
+COOKIE_WORDS_BY_LANGUAGE = {
+    "en": ("accept", "agree", "consent", "allow", "ok", "yes"),
+    "de": ("akzeptieren", "zustimmen", "erlauben", "ok", "ja"),
+    "fr": ("accepter", "consentir", "autoriser", "ok", "oui"),
+    "it": ("accettare", "consentire", "autorizzare", "ok", "sì"),
+    "es": ("aceptar", "consentir", "permitir", "ok", "sí"),
+    "pt": ("aceitar", "consentir", "permitir", "ok", "sim"),
+    "nl": ("accepteren", "toestaan", "instemmen", "ok", "ja"),
+    "pl": ("zaakceptować", "zgodzić", "zezwolić", "ok", "tak"),
+    "cs": ("přijmout", "souhlasit", "povolit", "ok", "ano"),
+    "ro": ("accepta", "consimți", "permite", "ok", "da"),
+}
+COOKIE_WORDS = tuple(sorted({w for words in COOKIE_WORDS_BY_LANGUAGE.values() for w in words}))
 
 
 def keyword_hits(docs: DataFrame, key: str, text: str, lang: str, keywords: DataFrame, kw_lang: str, kw_word: str, kw_kind: str, also: str | None = "en", fuzzy: int | None = None) -> DataFrame:
     """(key, kind): the kinds of which a keyword of the document's language, or of `also`, is in the text, in any case.
 
-    Documents of unknown language count as `also`. The keywords (a table of fixed size, checked) become one expression per
-    kind, so that no text is shuffled. With `fuzzy`, a keyword also hits if its best window reaches that ratio.
+    Documents of unknown language count as `also`; without `also` they have no keywords. The keywords, a table of the
+    caller's and not of the data's size, become one expression per kind, so that no text is shuffled. With `fuzzy`, a keyword
+    also hits if its best window reaches that ratio; such windows are looked for only around an exact part of the keyword.
     """
-    rows = keywords.select(F.lower(kw_lang), kw_word, kw_kind).where(F.trim(kw_word) != "").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("more than 20,000 keywords: not a keyword table")
+    rows = keywords.select(F.lower(kw_lang), kw_word, kw_kind).where(F.trim(kw_word) != "").distinct().collect()
     known = sorted({r[0] for r in rows if r[0]})
     l = F.when(F.lower(F.col(lang)).isin(known), F.lower(F.col(lang))).otherwise(F.lit(also)) if known else F.lit(also)
     low = F.lower(F.col(text))
@@ -37,8 +49,8 @@ def keyword_hits(docs: DataFrame, key: str, text: str, lang: str, keywords: Data
             some = F.lit(False)
             for w in words:
                 some = some | F.contains(low, F.lit(w))
-                if fuzzy:
-                    some = some | (partial_ratio(F.lit(w), low) >= fuzzy)
+            if fuzzy and words:
+                some = some | any_partial_ratio(low, words, fuzzy)
             hit = hit | (some if code == also else (l == code) & some)
         kinds.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(kind)))
     return docs.select(key, F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("kind"))
@@ -56,6 +68,12 @@ def species(docs: DataFrame, hits: DataFrame, key: str, categories: list[str]) -
     return docs.join(found.select(key, F.array_join(F.transform("k", lambda x: x.kind), ", ").alias("species")), key, "left")
 
 
+def service_links(pages: DataFrame, key: str, base: str, links: str, keywords: list[str]) -> DataFrame:
+    """(key, href): the distinct targets, seen from the page's URL, of links whose text holds one of the keywords in any case."""
+    l = pages.select(key, base, F.explode(links).alias("l")).where(contains_any(F.lower("l.anchor"), [w.lower() for w in keywords]))
+    return l.select(key, joined(F.col(base), F.col("l.href")).alias("href")).distinct()
+
+
 def keep_or(old: Column, new: Column) -> Column:
     """The old value where there is one, else the new."""
     return F.coalesce(null_if_blank(old), new)

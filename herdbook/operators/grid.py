@@ -18,6 +18,10 @@ GRS80_A, GRS80_F = 6378137.0, 1 / 298.257222101
 LAEA_LAT, LAEA_LON, LAEA_X, LAEA_Y = 52.0, 10.0, 4_321_000.0, 3_210_000.0
 
 
+#: Distinct values up to which a permutation test draws from all of them.
+FEW_VALUES = 10_000
+
+
 def _q(sin: Column | float, e: float):
     log, one = (F.log, F.lit(1.0)) if isinstance(sin, Column) else (math.log, 1.0)
     return (1 - e * e) * (sin / (1 - (sin * e) * (sin * e)) - log((one - sin * e) / (one + sin * e)) / (2 * e))
@@ -118,25 +122,36 @@ def assign_cells(points: DataFrame, x: Column, y: Column, x0: float, y0: float,
     return points.withColumns({"i": F.floor((x - x0) / size).cast("int"), "j": F.floor((y - y0) / size).cast("int")})
 
 
-def nearest_cells(points: DataFrame, key: str, cells: DataFrame, reach: int = 64) -> DataFrame:
-    """(key, i, j): for points with their own (i, j), the nearest existing cell; ties go to the smaller (i, j).
+def nearest_cells(points: DataFrame, key: str, cells: DataFrame) -> DataFrame:
+    """(key, i, j): for points with their own (i, j), the existing cell nearest by index, however far; ties go to the smaller (i, j)."""
+    return nearest_occupied(points, key, "i", "j", cells, 0.0)
+
+
+def nearest_occupied(points: DataFrame, key: str, x: str, y: str, cells: DataFrame, width: float = 1.0) -> DataFrame:
+    """(key, i, j): the nearest cell of each point, however far; distance 0 inside it, ties go to the smaller (i, j).
 
-    Points in an existing cell get it by an equi-join. The others look in rings of cells that double in width, up to
-    `reach` cells away; what lies farther has null.
+    x, y count in cells; cell (i, j) is the square from there of that width. Points in a cell get it by an equi-join. The
+    others look at the nine blocks around them, blocks doubling in side from round to round, until the nearest cell found is
+    nearer than what the blocks don't cover: so every answer is exact, and the rounds are the logarithm of the farthest
+    distance. Points without coordinates, and all points if there are no cells, have null.
     """
     have = cells.select("i", "j").distinct()
-    out = points.join(have, ["i", "j"], "left_semi").select(key, "i", "j")
-    rest = points.join(have, ["i", "j"], "left_anti").select(key, F.col("i").alias("pi"), F.col("j").alias("pj"))
-    width = 1
-    while width <= reach:
-        span = F.sequence(F.lit(-width), F.lit(width))
-        near = rest.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span)).withColumns({"i": F.col("pi") + F.col("di"), "j": F.col("pj") + F.col("dj")}).join(have, ["i", "j"])
-        near = near.where(F.col("di") * F.col("di") + F.col("dj") * F.col("dj") <= width * width)
-        best = near.groupBy(key).agg(F.min(F.struct((F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).alias("d"), F.col("i"), F.col("j"))).alias("b")).select(key, "b.i", "b.j")
-        out = out.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
-        width *= 4
-    return out.unionByName(rest.select(key, F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j")))
+    p = points.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    at = p.withColumns({"i": F.floor("_x").cast("int"), "j": F.floor("_y").cast("int")})
+    out = cut(at.join(have, ["i", "j"], "left_semi").select("_k", "i", "j"))
+    rest = cut(at.where("_x IS NOT NULL AND _y IS NOT NULL").join(have, ["i", "j"], "left_anti").select("_k", "_x", "_y"))
+    side, any_ = 1, bool(have.limit(1).count())
+    while any_ and rest.limit(1).count():
+        block = lambda c: F.floor(F.col(c) / side)
+        blocks = have.withColumns({"_bi": block("i"), "_bj": block("j")})
+        look = rest.withColumn("_bi", F.explode(F.sequence(block("_x") - 1, block("_x") + 1))).withColumn("_bj", F.explode(F.sequence(block("_y") - 1, block("_y") + 1)))
+        off = lambda c, v: F.greatest(F.col(c) - F.col(v), F.col(v) - F.col(c) - width, F.lit(0.0))
+        best = look.join(blocks, ["_bi", "_bj"]).groupBy("_k").agg(F.min(F.struct((F.pow(off("i", "_x"), 2) + F.pow(off("j", "_y"), 2)).alias("d"), "i", "j")).alias("b"))
+        found = cut(best.where(F.col("b.d") < float(max(0.0, side - width)) ** 2).select("_k", "b.i", "b.j"))
+        out = out.unionByName(found)
+        rest = cut(rest.join(found.select("_k"), "_k", "left_anti"))
+        side *= 2
+    return p.select("_k").join(out, "_k", "left").withColumnRenamed("_k", key)
 
 
 def cell_counts(cells: DataFrame, assigned: DataFrame, keys: list[str], name: str = "clinic_count") -> DataFrame:
@@ -186,16 +201,20 @@ def local_moran(cells: DataFrame, value: str) -> DataFrame:
 def moran_significance(cells: DataFrame, value: str, permutations: int = 999, seed: int = 1, level: float = 0.05) -> DataFrame:
     """local_moran() with p_value and label: a conditional permutation test per cell, seeded by the cell.
 
-    A cell's neighbours are replaced by draws from the distribution of all values (a histogram of distinct values, which is
-    broadcast; counts have few), so no task sees more than its cells. Labels are quadrants, 'Not significant' above `level`.
+    A cell's neighbours are replaced by draws from the values of all other cells: from their histogram, which counts have
+    few values for, so no task sees more than its cells. Beyond FEW_VALUES distinct values, their FEW_VALUES quantiles stand
+    for them, as many cells each. Labels are quadrants, 'Not significant' above `level`.
     """
-    hist = sorted((float(r[0]), int(r[1])) for r in cells.groupBy(value).count().limit(1_000_001).collect())
-    if len(hist) > 1_000_000:
-        raise ValueError("too many distinct values to permute")
+    counts = cut(cells.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    if counts.count() <= FEW_VALUES:
+        hist = sorted((float(r[0]), int(r[1])) for r in counts.collect())
+    else:
+        qs, all_ = cells.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*(F.lit((i + 0.5) / FEW_VALUES) for i in range(FEW_VALUES))), 100 * FEW_VALUES), F.count(value)).first()
+        hist = [(float(q), -(-all_ // FEW_VALUES)) for q in qs]
     v, n = np.array([h[0] for h in hist]), np.array([h[1] for h in hist])
     total = n.sum()
     mean = float((v * n).sum() / total) if total else 0.0
-    edges = n.cumsum() / total if total else n
+    ends = n.cumsum()  # the cells stand in order of their values: a value's end here
     lm = local_moran(cells, value)
     degree = queen_weights(cells).groupBy("i", "j").agg(F.count(F.lit(1)).alias("_k"))
     rows = lm.join(degree, ["i", "j"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
@@ -208,7 +227,9 @@ def moran_significance(cells: DataFrame, value: str, permutations: int = 999, se
                 out.append(1.0)
                 continue
             rng = np.random.default_rng([seed, a & 0xFFFFFFFF, b & 0xFFFFFFFF])
-            draws = v[np.minimum(np.searchsorted(edges, rng.random((permutations, int(kk)))), len(v) - 1)].mean(1) - mean
+            own = ends[min(len(v) - 1, int(np.searchsorted(v, zz + mean - 1e-9)))] - 1  # a place of the cell's own value
+            drawn = rng.integers(0, max(1, total - 1), (permutations, int(kk)))
+            draws = v[np.minimum(np.searchsorted(ends, drawn + (drawn >= own), "right"), len(v) - 1)].mean(1) - mean
             larger = int((draws * zz >= l * zz).sum())
             out.append((min(larger, permutations - larger) + 1.0) / (permutations + 1))
         return pd.Series(out, dtype=float)

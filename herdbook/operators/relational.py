@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herdbook.runtime import hot_keys, salt_all, salt_one
+from herdbook.functions.text import safe_name
+from herdbook.runtime import cut, hot_keys, salt_all, salt_one
 
 
 def align(df: DataFrame, target: list[str], cutoff: float = 0.85) -> DataFrame:
@@ -104,18 +105,30 @@ def pages_to_fetch(items: DataFrame, tile: str, page: str, item: str, full: int
     return out.withColumn("pages", F.when((F.col("n1") < full) | (F.col("n2") == 0), 1).when(stop2, 2).otherwise(3)).select(tile, "n1", "n2", "repeated", "pages")
 
 
-def within_cap(df: DataFrame, order: str, amount: Column, cap: float, width: int) -> DataFrame:
+def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df, written once, with `_b`, the number of its range of the order, and rows of a range in one partition."""
+    return cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
+
+
+def within_cap(df: DataFrame, order: str, amount: Column, cap: float) -> DataFrame:
     """The rows up to which the running sum of `amount` by `order` stays within the cap, with that sum as `running`.
 
-    The sum isn't taken in one task: rows go to buckets of `width` in the (integer) order, buckets are summed, and only the
-    sums of buckets are accumulated in one place.
+    The sum isn't taken in one task: rows are dealt to ranges of the order, ranges are summed, and only their sums, one row a
+    partition, are accumulated in one place. `order` must be unique.
     """
-    rows = df.withColumn("_b", F.floor(F.col(order) / width)).withColumn("_a", amount)
+    rows = _in_ranges(df.withColumn("_a", amount), [order])
     sums = rows.groupBy("_b").agg(F.sum("_a").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    run = rows.join(sums, "_b").withColumn("running", F.col("_before") + F.sum("_a").over(W.partitionBy("_b").orderBy(order)))
+    run = rows.join(F.broadcast(sums), "_b").withColumn("running", F.col("_before") + F.sum("_a").over(W.partitionBy("_b").orderBy(order)))
     return run.where(F.col("running") <= cap).drop("_b", "_a", "_before")
 
 
+def row_numbers(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """df with each row's place in the whole order, from 0; counted by ranges, so that no task orders all rows."""
+    rows = _in_ranges(df, order)
+    before = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(*order)) - 1).drop("_b", "_before")
+
+
 def value_counts(df: DataFrame, column: str, domain: list[str] | None = None) -> DataFrame:
     """(value, n, percent): counts with nulls; with a domain exactly its values, 0 where there are none."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -147,9 +160,25 @@ def check_total(parts: DataFrame, amount: str, whole: DataFrame) -> DataFrame:
     return parts.crossJoin(F.broadcast(good)).where("_ok").drop("_ok")
 
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """df with `batch`, the number of its batch of `size` in the (integer, dense) order."""
-    return df.withColumn("batch", F.floor(F.col(order) / size))
+def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """df with `batch`, the number of its batch of `size` rows in the order."""
+    return row_numbers(df, order, "_no").withColumn("batch", F.floor(F.col("_no") / size)).drop("_no")
+
+
+def all_null(*names: str) -> Column:
+    """True if all of the columns are null."""
+    return F.coalesce(*(F.col(n).cast("string") for n in names)).isNull()
+
+
+def inner_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of both sides with one key; of columns that both have, the left one's stay."""
+    return left.join(right.select(key, *(c for c in right.columns if c not in left.columns)), key)
+
+
+def text_of(df: DataFrame, name: Column, stored: DataFrame, stored_name: Column, text: str) -> DataFrame:
+    """df with `text` of the stored text whose sanitised name is the row's; null where there is none, the least of several."""
+    found = stored.groupBy(safe_name(stored_name).alias("_f")).agg(F.min(text).alias(text))
+    return df.withColumn("_f", safe_name(name)).join(found, "_f", "left").drop("_f")
 
 
 def rounded(x: Column, digits: int = 2) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from herdbook.plans import dealt, survey
+from herdbook.plans import columns, dealt, survey
 
-QUERIES = dealt.QUERIES | survey.QUERIES
-SQL = dealt.SQL | survey.SQL
+QUERIES = dealt.QUERIES | survey.QUERIES | columns.QUERIES
+SQL = dealt.SQL | survey.SQL | columns.SQL

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from herdbook.functions import html, text, url
 from herdbook.operators import classify, clusters, fuzzyjoin, grid, model, points, relational
+from herdbook.plans.dealt import GAPS
 from herdbook.runtime import table
 
 #: Words in the names of practices that aren't small-animal ones, and of clinics in six languages.
@@ -42,8 +43,8 @@ def keep_first_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_split_nullsafe(spark: SparkSession, d: str) -> DataFrame:
-    closed, other = relational.split_by(table(spark, d, "practices_google"), ~relational.is_not(F.col("business_status"), "OPERATIONAL"))
-    return closed.agg(F.count(F.lit(1)).alias("n")).select(F.lit("open").alias("part"), "n").unionByName(other.agg(F.count(F.lit(1)).alias("n")).select(F.lit("other").alias("part"), "n"))
+    open_, other = relational.split_by(table(spark, d, "practices_google"), ~relational.is_not(F.col("business_status"), "OPERATIONAL"))
+    return open_.select("google_id", F.lit("open").alias("part")).unionByName(other.select("google_id", F.lit("other").alias("part")))
 
 
 def union_align_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +76,7 @@ def _words(spark: SparkSession) -> DataFrame:
 def clinic_classify(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     hits = classify.keyword_hits(docs, "doc_id", "text", "lang", _words(spark), "lang", "word", "kind").groupBy("doc_id").agg(F.max((F.col("kind") == "clinic").cast("int")).alias("c"), F.max((F.col("kind") == "other").cast("int")).alias("o"))
-    out = docs.select("doc_id").join(hits, "doc_id", "left").select(classify.clinic_status(F.coalesce(F.col("c") == 1, F.lit(False)), F.coalesce(F.col("o") == 1, F.lit(False))).alias("clinic"))
-    return relational.value_counts(out, "clinic", ["yes", "no", "uncertain"]).select(F.col("value").alias("clinic"), "n", "percent")
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", classify.clinic_status(F.coalesce(F.col("c") == 1, F.lit(False)), F.coalesce(F.col("o") == 1, F.lit(False))).alias("clinic"))
 
 
 def species_of_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +133,7 @@ def page_stop_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def call_cap_running(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3 + 1).alias("calls"))
-    return relational.within_cap(e, "event_id", F.col("calls"), 8000, 5000).select("event_id", "calls", "running")
+    return relational.within_cap(e, "event_id", F.col("calls"), 8000).select("event_id", "calls", "running")
 
 
 def team_counts_json(spark: SparkSession, d: str) -> DataFrame:
@@ -235,8 +235,11 @@ def residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poisson_fit(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "covariates").where("pop > 0 AND ca > 0 AND NOT isnan(ca) AND NOT isnan(ch)").select("row_id", "settlement", F.lit(100.0).alias("area"), F.log1p("pop").alias("l_pop"), F.log1p("ca").alias("l_ca"), F.log1p("ch").alias("l_ch"))
-    return model.poisson_fit(c, "settlement", "area", ["l_pop", "l_ca", "l_ch"])[1]
+    measured = {g.name: g.measured() for g in GAPS}
+    log = lambda c: F.when(measured.get(c, F.coalesce(~F.isnan(F.col(c)) & (F.col(c) >= 0) & (F.col(c) < 1e30), F.lit(False))), F.log(1 + F.col(c).cast("double"))).alias(f"l_{c}")
+    nine = ["pop", "gdp", "acc", "ca", "ch", "pg", "sh"]
+    c = table(spark, d, "covariates").where("settlement >= 0").select("row_id", "settlement", F.lit(100.0).alias("area"), *map(log, nine), F.when(measured["urban"], F.col("urban").cast("double") / 10).alias("urban"), ((F.col("ref_year") - 2015) / 10.0).alias("time"))
+    return model.poisson_fit(c, "settlement", "area", [*(f"l_{n}" for n in nine), "urban", "time"])[1]
 
 
 def profile_minmax(spark: SparkSession, d: str) -> DataFrame:
@@ -279,8 +282,7 @@ def country_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def country_cells(spark: SparkSession, d: str) -> DataFrame:
-    # the projection is one of Europe; New Zealand lies at its far end
-    return grid.square_cells(table(spark, d, "boundaries").where("iso <> 'NZL'"), "iso", "region_id", "rings")
+    return grid.square_cells(table(spark, d, "boundaries"), "iso", "region_id", "rings")
 
 
 def region_areas(spark: SparkSession, d: str) -> DataFrame:
@@ -348,7 +350,7 @@ WITH w AS (SELECT *, CASE WHEN origin = 'google' THEN 0 ELSE 1 END * 10000000000
 SELECT cluster_id, """ + ", ".join(f"arg_min({c}, o) FILTER ({c} IS NOT NULL) AS {c}" for c in ("name", "address", "website", "email")) + """,
   nullif(list_aggregate(list_sort(list(DISTINCT specialization) FILTER (specialization IS NOT NULL)), 'string_agg', ', '), '') AS specialization, count(*) AS n FROM w GROUP BY cluster_id""",
     "keep_first_dedup": "SELECT osm_id, osm_key, name FROM osm_places QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY osm_key) = 1",
-    "status_split_nullsafe": "SELECT 'open' AS part, count(*) FILTER (business_status = 'OPERATIONAL') AS n FROM practices_google UNION ALL SELECT 'other', count(*) FILTER (business_status IS DISTINCT FROM 'OPERATIONAL') FROM practices_google",
+    "status_split_nullsafe": "SELECT google_id, CASE WHEN business_status = 'OPERATIONAL' THEN 'open' ELSE 'other' END AS part FROM practices_google",
     "union_align_columns": "SELECT DISTINCT name, address, website, email FROM (SELECT name, address, website, '' AS email FROM practices_google UNION ALL SELECT name, address, website, email FROM practices_web)",
     "keyword_filter_names": "SELECT google_id, coalesce(" + " OR ".join(f"contains(lower(name), '{w}')" for w in SPECIAL) + ", false) AS special FROM practices_google",
     "null_conventions": """
@@ -358,9 +360,8 @@ SELECT web_id, CASE WHEN lower(regexp_replace(website, '^\\s+|\\s+$', '', 'g'))
   nullif(concat_ws(', ', nullif(address, ''), nullif(plz, ''), nullif(ort, '')), '') AS full_address FROM practices_web""",
     "species_flags": "SELECT web_id, " + ", ".join(f"CASE WHEN specialization IS NOT NULL AND NOT regexp_full_match(specialization, '\\s*') THEN contains(lower(specialization), '{c}') END AS {c.replace(' ', '_')}" for c in CATEGORIES) + " FROM practices_web",
     "clinic_classify": _hits(_WORDS, "lang", "word", "kind") + """,
-s AS (SELECT CASE WHEN bool_or(kind = 'clinic') THEN 'yes' WHEN bool_or(kind = 'other') THEN 'no' ELSE 'uncertain' END AS clinic FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id),
-n AS (SELECT v.clinic, count(s.clinic) AS n FROM (VALUES ('yes'), ('no'), ('uncertain')) v(clinic) LEFT JOIN s USING (clinic) GROUP BY v.clinic)
-SELECT clinic, n, floor(n * 100.0::DOUBLE / sum(n) OVER () * 100 + 0.5) / 100 AS percent FROM n""",
+s AS (SELECT doc_id, CASE WHEN bool_or(kind = 'clinic') THEN 'yes' WHEN bool_or(kind = 'other') THEN 'no' ELSE 'uncertain' END AS clinic FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, clinic FROM s""",
     "species_of_documents": _hits("animal_keywords", "lang", "keyword_text", "category") + """,
 o AS (SELECT doc_id, string_agg(kind, ', ' ORDER BY CASE kind WHEN 'small animals' THEN 0 WHEN 'large animals' THEN 1 ELSE 2 END) AS species FROM h GROUP BY doc_id)
 SELECT doc_id, species FROM documents LEFT JOIN o USING (doc_id)""",
@@ -393,7 +394,10 @@ SELECT osm_key, list_has_any(string_split(host, '.')[:-2], ['tierklinik', 'petso
     "html_links": "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS href FROM site_pages",
     "html_text_valid": f"""
 WITH t AS (SELECT page_id, {_STRIPPED} AS t FROM site_pages)
-SELECT page_id, coalesce(length(t) >= 200 AND NOT ({" OR ".join("contains(lower(t), '" + s.replace("'", "''") + "')" for s in (*text.ERROR_SIGNS, *text.BOT_SIGNS))}), false) AS valid, coalesce(length(t) >= 300, false) AS visible, length(t) AS n_chars FROM t""",
+SELECT page_id, coalesce(length(t) >= 200 AND NOT (contains(lower(t), 'error scraping content') OR contains(lower(t), 'no content') OR contains(lower(t), '<!doctype html>') OR contains(lower(t), '404 not found')
+  OR contains(lower(t), 'page not found') OR contains(lower(t), 'document not found') OR contains(lower(t), 'the resource requested could not be found') OR contains(lower(t), 'diese seite wurde nicht gefunden')
+  OR contains(lower(t), 'seite nicht gefunden') OR contains(lower(t), 'page introuvable') OR contains(lower(t), 'verifying you are human') OR contains(lower(t), 'enable javascript and cookies') OR contains(lower(t), 'cloudflare')
+  OR regexp_matches(lower(t), 'waiting for .* to respond') OR contains(lower(t), 'ray id')), false) AS valid, coalesce(length(t) >= 300, false) AS visible, length(t) AS n_chars FROM t""",
     "team_page_score": f"""
 WITH t AS (SELECT page_id, {_STRIPPED} AS t, regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM site_pages),
 n AS (SELECT page_id, t, p, coalesce(len(regexp_extract_all(t, '(?i)\\bTeam\\b')), 0) AS a, coalesce(len(regexp_extract_all(t, '(?i)\\bPraxis\\b')), 0) AS b, coalesce(len(regexp_extract_all(t, '(?i)\\bImpfung\\b')), 0) AS c FROM t)

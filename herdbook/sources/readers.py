@@ -10,9 +10,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ELEMENT = "type string, id bigint, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>, nodes array<struct<lat:double,lon:double>>"
 
 
-def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """A CSV file with a header; quoted fields may hold line feeds."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; quoted fields may hold line feeds unless `multi_line` is off, which lets one file be split."""
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
 
 
@@ -93,6 +93,11 @@ def first_result(df: DataFrame, results: DataFrame, query: str, keep) -> DataFra
     return df.join(best, F.col(query) == F.col("_q"), "left").drop("_q")
 
 
+def texts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, text) of the texts that sinks.write_texts stored, each whole."""
+    return spark.read.text(path, wholetext=True).select(name, F.regexp_replace("value", "\\n$", "").alias("text"))
+
+
 class PagedSearch(DataSource):
     """Stored result pages of a place search as a stream of rows: files of JSON lines (tile, page, places), one partition a file.
 

@@ -40,3 +40,8 @@ def replace_table(df: DataFrame, path: str) -> None:
         fs.rename(p(path), p(old))
     fs.rename(p(new), p(path))
     fs.delete(p(old), True)
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """One folder `<name>=<value>` of text files for each key: every text (or JSON, or reply) can be found by its name."""
+    df.where(F.col(name).isNotNull()).select(name, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").partitionBy(name).text(path)

@@ -30,7 +30,8 @@ def test_text_rules(spark):
     assert [r[0] for r in out(df, text.fold_hyphens(F.col("x")))] == ["e fi, x", "", "", ""]
     df = col(spark, [None, "Horses, small animals", " "])
     assert [r[0] for r in out(df, text.species_flag(F.col("x"), "horses"))] == [None, True, None]
-    assert [r[0] for r in out(col(spark, ["x" * 250, "captcha " + "x" * 250, "x", None]), text.valid_content(F.col("x")))] == [True, False, False, False]
+    texts = ["x" * 250, "Verifying you are human " + "x" * 250, "waiting for a.ch to respond " + "x" * 250, "captcha " + "x" * 250, "x", None]
+    assert [r[0] for r in out(col(spark, texts), text.valid_content(F.col("x")))] == [True, False, False, True, False, False]
     df = col(spark, [None, 0.0, 19999.0, 20000.0, 99999.0, 300000.0, 1000000.0], "double")
     assert [r[0] for r in out(df, relational.population_radius(F.col("x")))] == [20000, 20000, 15000, 25000, 25000, 50000, 65000]
 
@@ -106,7 +107,7 @@ def test_nearest_cell_raster_and_moran(spark):
     cells = spark.createDataFrame([(0, 0, 4), (1, 0, 5), (5, 5, 0), (9, 9, 1)], "i int, j int, n int")
     p = spark.createDataFrame([(1, 0, 0), (2, 3, 3), (3, 2, 0), (4, 500, 500)], "k int, i int, j int")
     got = {r.k: (r.i, r.j) for r in grid.nearest_cells(p, "k", cells).collect()}
-    assert got == {1: (0, 0), 2: (5, 5), 3: (1, 0), 4: (None, None)}
+    assert got == {1: (0, 0), 2: (5, 5), 3: (1, 0), 4: (9, 9)}
     r = {(x.row, x.col): x.value for x in grid.rasterize(cells.where("i < 2"), "n", spark, 2, 2, -9.0).collect()}
     assert r == {(1, 0): 4.0, (1, 1): 5.0, (0, 0): -9.0, (0, 1): -9.0}
     m = {(x.i, x.j): x.quadrant for x in grid.local_moran(cells, "n").collect()}
@@ -183,7 +184,7 @@ def test_updates_caps_and_checks(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, None), (None, 3, "x"), ("b", 4, "y")], "name string, o int, v string")
     up = spark.createDataFrame([("a", "new"), ("b", None)], "name string, v string")
     assert {r.o: r.v for r in relational.update_first(df, up, "name", "o", ["v"]).collect()} == {1: "new", 2: None, 3: "x", 4: "y"}
-    run = relational.within_cap(df, "o", F.lit(2), 6, 2).collect()
+    run = relational.within_cap(df, "o", F.lit(2), 6).collect()
     assert sorted((r.o, r.running) for r in run) == [(1, 2), (2, 4), (3, 6)]
     parts = df.groupBy("name").count()
     assert relational.check_total(parts, "count", df).count() == 3
@@ -228,3 +229,38 @@ def test_links_of_a_page_fetched_twice(spark, tmp_path):
     pages = [(1, "https://s.ch/", '<a href="/team">Team</a>'), (2, "https://s.ch/", '<a href="/preise">Preise</a>'), (3, "https://s.ch/", None)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/site_pages.parquet")
     assert sorted(r.href for r in survey.site_link_table(spark, str(tmp_path)).collect()) == ["https://s.ch/preise", "https://s.ch/team"]
+
+
+def test_reaches_equals_the_best_window():
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(3000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        t = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 40)))
+        for percent in (70, 85, 95):
+            want = fuzzy.best_window(w, t) >= percent
+            assert fuzzy.reaches(w, t, percent) == want, (w, t, percent)
+            hits += want
+    assert hits > 300
+
+
+def test_nearest_occupied_is_exact_however_far(spark):
+    rng = random.Random(6)
+    cells = {(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(25)} | {(900, 5)}
+    pts = [(k, rng.uniform(-300, 700), rng.uniform(-300, 300)) for k in range(150)] + [(500, None, 1.0)]
+    got = {r.k: (r.i, r.j) for r in grid.nearest_occupied(spark.createDataFrame(pts, "k int, x double, y double"), "k", "x", "y", spark.createDataFrame(list(cells), "i int, j int")).collect()}
+    far = lambda v, c: max(c - v, v - c - 1, 0.0)
+    for k, x, y in pts[:-1]:
+        assert got[k] == min((far(x, i) ** 2 + far(y, j) ** 2, i, j) for i, j in cells)[1:]
+    assert got[500] == (None, None)
+    assert grid.nearest_occupied(spark.createDataFrame(pts, "k int, x double, y double"), "k", "x", "y", spark.createDataFrame([], "i int, j int")).where("i IS NOT NULL").count() == 0
+
+
+def test_row_numbers_and_texts_by_key(spark, tmp_path):
+    from herdbook.sources import readers, sinks
+
+    df = spark.createDataFrame([(i, (i * 7919) % 1000) for i in range(1000)], "id int, v int")
+    assert all(r.no == r.v for r in relational.row_numbers(df, ["v"], "no").collect())
+    texts = spark.createDataFrame([("a b", "one\ntwo"), ("c", '{"n": 1}'), (None, "x"), ("d", None)], "name string, text string")
+    sinks.write_texts(texts, str(tmp_path / "t"), "name", "text")
+    assert {(r.name, r.text) for r in readers.texts(spark, str(tmp_path / "t"), "name").collect()} == {("a b", "one\ntwo"), ("c", '{"n": 1}'), ("d", "")}
