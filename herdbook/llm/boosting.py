@@ -12,6 +12,7 @@ class BoostedTrees:
         self.rounds, self.depth, self.rate, self.bins, self.least, self.l2 = rounds, depth, rate, bins, least, l2
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.used: list[int] = []
         self.start = 0.0
 
     @classmethod
@@ -22,13 +23,24 @@ class BoostedTrees:
         return made
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1).astype(np.int16)
+        out = np.zeros(x.shape, np.int16)
+        for j in self.used:
+            out[:, j] = np.searchsorted(self.edges[j], x[:, j], "right")
+        return out
+
+    @staticmethod
+    def _edges(column: np.ndarray, bins: int) -> np.ndarray:
+        """Bounds of bins: between all values if they are few, so that rare flags can be told; quantiles otherwise."""
+        values = np.unique(column)
+        if len(values) <= bins:
+            return (values[1:] + values[:-1]) / 2
+        return np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1]))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
         """x: rows by features; y: 0 or 1. Deterministic."""
         w = np.ones(len(y)) if weight is None else weight
-        qs = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(x[:, j], qs)) for j in range(x.shape[1])]
+        self.edges = [self._edges(x[:, j], self.bins) for j in range(x.shape[1])]
+        self.used = [j for j, e in enumerate(self.edges) if len(e)]
         b = self._binned(x)
         mean = min(0.99, max(0.01, float((w * y).sum() / w.sum())))
         self.start = float(np.log(mean / (1 - mean)))
@@ -43,7 +55,7 @@ class BoostedTrees:
                 first = 1 << level
                 at = node - first
                 best = np.full(first, 1e-6)
-                for j in range(x.shape[1]):
+                for j in self.used:
                     key = at * (self.bins + 1) + b[:, j]
                     gs = np.bincount(key, g, first * (self.bins + 1)).reshape(first, -1).cumsum(1)
                     hs = np.bincount(key, h, first * (self.bins + 1)).reshape(first, -1).cumsum(1)
@@ -60,6 +72,7 @@ class BoostedTrees:
             value = self.rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + self.l2)
             self.trees.append((feature, cut, value))
             f += value[leaf]
+        self.used = sorted({int(j) for feature, cut, _ in self.trees for j, c in zip(feature, cut) if c <= self.bins})
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:

@@ -166,6 +166,44 @@ def test_boosted_trees_learn_an_interaction():
     assert ((again.score(x[2000:]) > 0) == y[2000:]).mean() > 0.95
 
 
+def test_parsing_does_not_depend_on_line_breaks():
+    page = """<body><div class="nav"><a href="/">Home</a> <a href="/t">Team</a></div>
+<main>
+<h1>Title
+<p>first <b>unclosed</b>
+<ul>
+<li>one
+<li>two <a href="/x">link</a>
+</ul>
+<section>
+<p>inner &amp; text</p>
+<p>more</p>
+</section>
+<!-- hidden
+<p>comment</p> -->
+<p>last</p>
+</main>
+<script>var x = "<p>no</p>";</script><footer><p>foot</p><p>er</p></footer></body>"""
+    lines, boxes = mainbody.parse(page)
+    assert [(x.no, x.text) for x in lines] == [(0, "Home Team"), (2, "Title"), (3, "first unclosed"), (5, "one"), (6, "two link"), (9, "inner & text"), (10, "more"), (14, "last"), (16, "foot"), (16, "er")]
+    assert lines[0].linked == 8 and "nav" in lines[0].attrs
+    one, two = mainbody.parse(page.replace("<h1>Title", "<h1>Title</h1>").replace("</b>", "</b></p>").replace("\n", " "))
+    assert [x.text for x in one] == [x.text for x in lines] and {x.no for x in one} == {0}
+    shape = lambda ls, bs: [(bs[x.parent].tag, bs[bs[x.parent].parent].tag) for x in ls]
+    assert shape(one, two) == shape(lines, boxes)
+    assert mainbody.parse("<div>" * 5000 + "x")[0][0].text == "x" and mainbody.parse("< <>< a") is not None
+
+
+def test_nested_containers_stay_in_the_body():
+    page = "<body>\n<nav>\n<li>a</li>\n<li>b</li>\n</nav>\n<main>\n<p>1</p>\n<p>2</p>\n<ul>\n<li>3</li>\n<li>4</li>\n</ul>\n<aside>\n<p>x</p>\n<p>y</p>\n</aside>\n<section>\n<p>5</p>\n<p>6</p>\n</section>\n<p>7</p>\n</main>\n</body>"
+    lines, boxes = mainbody.parse(page)
+    odds = np.array([5.0 if x.text.isdigit() else -5.0 for x in lines])
+    inside = np.array([5.0 if b.tag == "main" else -5.0 for b in boxes])
+    assert [lines[i].text for i in mainbody.decode(lines, boxes, odds, inside)] == list("1234567")
+    odds[[i for i, x in enumerate(lines) if x.text == "6"]] = -5.0
+    assert [lines[i].text for i in mainbody.decode(lines, boxes, odds, inside)] == list("123457")
+
+
 def test_decoding_holds_one_container():
     lines, boxes = mainbody.parse("<body>\n<div>\n<p>a</p>\n<p>b</p>\n</div>\n<div>\n<p>c</p>\n</div>\n</body>")
     assert [(x.text, x.no) for x in lines] == [("a", 2), ("b", 3), ("c", 6)]
