@@ -252,6 +252,21 @@ def _crossed(edges: DataFrame) -> DataFrame:
     return e.where(F.greatest(F.lit(0.0), a, c) < F.least(F.lit(1.0), b, d)).select("code", "i", "j").distinct()
 
 
+def touched_tiles(regions: DataFrame, code: str, region: str, rings: str, step: float) -> DataFrame:
+    """degree_tiles of each code's bounding box that share some area with its regions, exactly: through those an edge runs, or,
+    where none does, the tile's middle lies in a region."""
+    tiles = degree_tiles(bounds(regions, rings, [code]), step)
+    ring = regions.select(F.col(code).alias("code"), F.explode(rings).alias("q"))
+    edge = ring.select("code", F.explode(F.transform("q", lambda p, i: F.struct(p.alias("p"), F.get("q", F.pmod(i + 1, F.size("q"))).alias("n")))).alias("e"))
+    box = bounds(regions, rings, [code]).select(F.col(code).alias("code"), "x0", "y0")
+    unit = lambda c, at: (F.col(c) - F.col(at)) / step
+    crossed = _crossed(edge.join(box, "code").select("code", unit("e.p.x", "x0").alias("u0"), unit("e.p.y", "y0").alias("v0"), unit("e.n.x", "x0").alias("u1"), unit("e.n.y", "y0").alias("v1")))
+    middle = tiles.select(F.col(code).alias("code"), "i", "j", F.xxhash64(code, "i", "j").alias("_p"), ((F.col("south") + F.col("north")) / 2).alias("lat"), ((F.col("west") + F.col("east")) / 2).alias("lon"))
+    owners = regions.select(F.col(region).cast("bigint").alias("key_b"), F.col(code).alias("code"))
+    inside = middle.join(containing_regions(middle, "_p", "lat", "lon", regions, region, rings).join(owners, "key_b").select(F.col("key_a").alias("_p"), "code"), ["_p", "code"], "left_semi").select("code", "i", "j")
+    return tiles.join(crossed.unionByName(inside).distinct().withColumnRenamed("code", code), [code, "i", "j"], "left_semi")
+
+
 def square_cells(regions: DataFrame, code: str, region: str, rings: str, size_m: float = 10_000, probes: int = 6) -> DataFrame:
     """(code, cell_id, i, j, x0, y0, share): the squares of a grid in EPSG:3035 that share some area with a country.
 

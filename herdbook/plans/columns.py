@@ -177,10 +177,14 @@ def nearest_cell_assignment(spark: SparkSession, d: str) -> DataFrame:
     return grid.nearest_occupied(p, "osm_key", "x", "y", cells).select("osm_key", "i", "j")
 
 
+def touched_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return grid.touched_tiles(table(spark, d, "boundaries"), "iso", "region_id", "rings", 0.25).select("iso", "i", "j")
+
+
 QUERIES = {f.__name__: f for f in (
     drop_any_null, drop_all_null, membership_filter, required_fields, unprocessed_filter, settlement_mask, not_rejected, all_fields_null, missing_address, derived_columns, label_numbers, token_estimates, grid_covariates_merge,
     text_lookup, keyword_sets, sorted_values, batch_numbers, matched_union, first_or_fuzzy, nonclinic_semi_anti, species_own_language, species_fuzzy, clinic_classify_fuzzy, keep_existing, loose_path_words, service_link_table, url_clean_country,
-    stop_word_languages, nearest_cell_assignment)}
+    stop_word_languages, nearest_cell_assignment, touched_tiles)}
 
 _PATH = "regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _SAFE = "regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}} _-]', '', 'g'), '\\s+$', '')"
@@ -188,7 +192,42 @@ _WORD_ROWS = "(VALUES ('de', 'Praxis', 'clinic'), ('de', 'Impfung', 'clinic'), (
 _FIRST = "(SELECT {1} FROM covariates WHERE ref_year = {0} QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY row_id) = 1)"
 _SOME = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)"
 
+#: The European equal-area projection in SQL, from its definition (ellipsoid GRS80, origin 52 N 10 E).
+_Q = "(0.00669438002290079::DOUBLE) AS e2, sqrt(0.00669438002290079::DOUBLE) AS e"
+_QOF = "((1 - e2) * ({0} / (1 - e2 * {0} * {0}) - ln((1 - e * {0}) / (1 + e * {0})) / (2 * e)))"
+_LAEA = f"""
+WITH k AS (SELECT {_Q}), k2 AS (SELECT *, {_QOF.format("1.0::DOUBLE")} AS qp, {_QOF.format("sin(radians(52.0::DOUBLE))")} AS q0, 6378137.0::DOUBLE AS a FROM k),
+k3 AS (SELECT *, asin(q0 / qp) AS b0, a * sqrt(qp / 2) AS rq, a * cos(radians(52.0::DOUBLE)) / sqrt(1 - e2 * pow(sin(radians(52.0::DOUBLE)), 2)) AS m FROM k2), k4 AS (SELECT *, m / (rq * cos(b0)) AS d FROM k3),
+o AS (SELECT *, asin(least(1, greatest(-1, {_QOF.format("sin(radians(latitude))")} / qp))) AS b, radians(longitude - 10) AS dl FROM osm_places, k4 WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)),
+r AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(dl))) AS s FROM o),
+xy AS (SELECT s * d * cos(b) * sin(dl) + 4321000 AS x, s / d * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(dl)) + 3210000 AS y FROM r)"""
+
+_BOX = "b AS (SELECT {0}, min(q.x) x0, min(q.y) y0, max(q.x) x1, max(q.y) y1 FROM (SELECT {0}, unnest(flatten(rings)) AS q FROM boundaries) GROUP BY {0})"
+_EDGES = "g AS (SELECT region_id, iso, unnest(rings) AS ring FROM boundaries), e AS (SELECT region_id, iso, ring[k] AS p, ring[k % len(ring) + 1] AS q FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS k FROM g))"
+_METRES = "2 * 6371000 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
+
 SQL = {
+    "touched_tiles": f"""
+WITH {_BOX.format("iso")}, {_EDGES},
+t AS (SELECT *, unnest(range(0, greatest(1, ceil((y1 - y0) / 0.25::DOUBLE - 1e-9)::INT))) AS j FROM (SELECT *, unnest(range(0, greatest(1, ceil((x1 - x0) / 0.25::DOUBLE - 1e-9)::INT))) AS i FROM b)),
+u AS (SELECT e.iso, (p.x - x0) / 0.25::DOUBLE AS u0, (p.y - y0) / 0.25::DOUBLE AS v0, (q.x - x0) / 0.25::DOUBLE AS u1, (q.y - y0) / 0.25::DOUBLE AS v1 FROM e JOIN b USING (iso)),
+c AS (SELECT DISTINCT t.iso, i, j FROM t JOIN u ON t.iso = u.iso AND i <= greatest(u0, u1) AND i + 1 >= least(u0, u1) AND j <= greatest(v0, v1) AND j + 1 >= least(v0, v1)
+      WHERE greatest(0, CASE WHEN u1 = u0 THEN (CASE WHEN i < u0 AND u0 < i + 1 THEN 0 ELSE 1 END) ELSE least((i - u0) / (u1 - u0), (i + 1 - u0) / (u1 - u0)) END, CASE WHEN v1 = v0 THEN (CASE WHEN j < v0 AND v0 < j + 1 THEN 0 ELSE 1 END) ELSE least((j - v0) / (v1 - v0), (j + 1 - v0) / (v1 - v0)) END)
+          < least(1, CASE WHEN u1 = u0 THEN (CASE WHEN i < u0 AND u0 < i + 1 THEN 1 ELSE 0 END) ELSE greatest((i - u0) / (u1 - u0), (i + 1 - u0) / (u1 - u0)) END, CASE WHEN v1 = v0 THEN (CASE WHEN j < v0 AND v0 < j + 1 THEN 1 ELSE 0 END) ELSE greatest((j - v0) / (v1 - v0), (j + 1 - v0) / (v1 - v0)) END)),
+m AS (SELECT iso, i, j, (x0 + i * 0.25::DOUBLE + least(x0 + i * 0.25::DOUBLE + 0.25::DOUBLE, x1)) / 2 AS x, (y0 + j * 0.25::DOUBLE + least(y0 + j * 0.25::DOUBLE + 0.25::DOUBLE, y1)) / 2 AS y FROM t),
+h AS (SELECT m.iso, i, j, region_id FROM m JOIN e ON m.iso = e.iso AND (p.y <= y) <> (q.y <= y) AND x < p.x + (q.x - p.x) * (y - p.y) / (q.y - p.y) GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT iso, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM (SELECT iso, i, j FROM c UNION SELECT iso, i, j FROM h)""",
+    "country_boxes": f"""
+WITH {_BOX.format("region_id")}, k AS (SELECT *, {_METRES.format("((y0 + y1) / 2)", "x0", "((y0 + y1) / 2)", "x1")} / 1000 AS w, {_METRES.format("y0", "x0", "y1", "x0")} / 1000 AS h FROM b),
+n AS (SELECT *, CASE WHEN w <= 15 AND h <= 15 THEN 1 ELSE least(5, greatest(1, ceil(h / 50)))::INT END AS nr, CASE WHEN w <= 15 AND h <= 15 THEN 1 ELSE least(5, greatest(1, ceil(w / 50)))::INT END AS nc FROM k),
+t AS (SELECT *, unnest(range(0, nr)) AS j FROM (SELECT *, unnest(range(0, nc)) AS i FROM n))
+SELECT region_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(y0 + j * ((y1 - y0) / nr), 6) AS south, round(x0 + i * ((x1 - x0) / nc), 6) AS west, round(y0 + (j + 1) * ((y1 - y0) / nr), 6) AS north, round(x0 + (i + 1) * ((x1 - x0) / nc), 6) AS east FROM t""",
+    "region_lattice": f"""
+WITH {_BOX.format("region_id")}, {_EDGES}, s AS (SELECT *, degrees(10000 / 6371000.0::DOUBLE) AS step FROM b),
+j AS (SELECT *, y0 + j * step AS lat FROM (SELECT *, unnest(range(0, floor((y1 - y0) / step)::INT + 1)) AS j FROM s)), d AS (SELECT *, step / greatest(1e-6, cos(radians(lat))) AS dx FROM j),
+i AS (SELECT region_id, round(lat, 5) AS lat, round(x0 + i * dx, 5) AS lon FROM (SELECT *, unnest(range(0, floor((x1 - x0) / dx)::INT + 1)) AS i FROM d))
+SELECT region_id, lat, lon FROM i JOIN e USING (region_id) WHERE (p.y <= lat) <> (q.y <= lat) AND lon < p.x + (q.x - p.x) * (lat - p.y) / (q.y - p.y) GROUP BY region_id, lat, lon HAVING count(*) % 2 = 1""",
+    "laea_cells": _LAEA + " SELECT CAST(floor(x / 10000) AS INT) AS i, CAST(floor(y / 10000) AS INT) AS j, count(*) AS n FROM xy GROUP BY ALL",
     "drop_any_null": "SELECT google_id FROM practices_google WHERE name IS NOT NULL AND address IS NOT NULL AND latitude IS NOT NULL AND NOT isnan(latitude) AND longitude IS NOT NULL AND NOT isnan(longitude)",
     "drop_all_null": "SELECT osm_key FROM osm_places WHERE name IS NOT NULL OR address IS NOT NULL",
     "membership_filter": "SELECT osm_key, country_code FROM osm_places WHERE country_code IN ('CHE', 'AUT', 'NLD')",
