@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdbook.functions.fuzzy import may_reach, token_sort_ratio
-from herdbook.runtime import hot_keys, salt_all, salt_one
+from herdbook.runtime import salt_both
 
 GRAM = 3
 
@@ -27,7 +27,7 @@ def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, score=token_sort_r
     Candidates share one of the rarest n-grams of each side, and no pair is lost: a letter left out breaks at most GRAM
     n-grams, one put in GRAM - 1, and the ratio bounds both by the length, so at most `broken` of a text's n-grams are missing
     in its partner and two prefixes of broken + 1 by rarity meet. Length and Levenshtein filters that lose no pair come before
-    the score, which runs in Arrow batches. Hot n-grams are salted.
+    the score, which runs in Arrow batches. Hot n-grams are salted from both sides.
     """
     grams = lt.select(F.col("_lt").alias("t")).unionByName(rt.select(F.col("_rt").alias("t"))).select(F.explode(_grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
@@ -48,8 +48,12 @@ def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, score=token_sort_r
     tiny = lambda d, c: d.where(short(c)).withColumn("g", F.explode(F.sequence((F.length(c) * r / (2 - r)).cast("int"), (F.length(c) * (2 - r) / r).cast("int") + 1))).withColumn("g", F.concat(F.lit("#"), F.col("g").cast("string")))
     at = lambda d, c: d.where(short(c)).withColumn("g", F.concat(F.lit("#"), F.length(c).cast("string")))
     a, b = a.unionByName(at(lt, "_lt")), b.unionByName(tiny(rt, "_rt"))
-    hot = hot_keys(a, ["g"], rows=5_000)
-    pairs = salt_one(a, hot, ["g"], F.col("_lt")).join(salt_all(b, hot, ["g"]), ["g", "_salt"]).where(may_reach(F.col("_lt"), F.col("_rt"), percent)).select("_lt", "_rt").distinct()
+    # only hashes and lengths are joined, and each pair is tested once
+    one = lambda d, c, i, n: d.select(F.xxhash64(c).alias(i), F.length(c).alias(n), "g")
+    x, y = salt_both(one(a, "_lt", "_li", "_ln"), one(b, "_rt", "_ri", "_rn"), ["g"], F.col("_li"), F.col("_ri"), 5_000)
+    near = F.abs(F.col("_ln") - F.col("_rn")) <= F.floor((F.col("_ln") + F.col("_rn")) * (100 - percent) / 100 + 1e-9)
+    met = x.join(y, ["g", "_salt"]).where(near).select("_li", "_ri").distinct()
+    pairs = met.join(lt.select(F.xxhash64("_lt").alias("_li"), "_lt"), "_li").join(rt.select(F.xxhash64("_rt").alias("_ri"), "_rt"), "_ri").where(may_reach(F.col("_lt"), F.col("_rt"), percent)).select("_lt", "_rt").distinct()
     return pairs.withColumn("score", score(F.col("_lt"), F.col("_rt"))).where(F.col("score") >= percent)
 
 
