@@ -139,3 +139,13 @@ def test_truth_discovery_finds_planted_truths(spark):
         known[g] = max(w, key=w.get)
     votes, found, best = share(run(0)), share(run(8)), share(known)
     assert found > votes + 0.05 and found > best - 0.01, (votes, found, best)
+
+
+def test_hot_addresses_are_one_class(spark):
+    n = 20_000  # a third and more of all rows say the same; classes and links don't grow with them
+    rows = [(i, "Hauptstrasse 5, 8001 Zürich", None, None) for i in range(n)] + [(n, "Haupstr. 5", "8001", "Zürich"), (n + 1, "Hauptstrasse 5a, 8001 Zürich", None, None), (n + 2, None, None, None)]
+    rows += [(n + 10 + i, f"Gartenweg {i % 400}, {8000 + i % 7} Ort{i % 7}", None, None) for i in range(2_000)]
+    members, links = addresses.places(spark.createDataFrame(rows, "id bigint, address string, plz string, ort string"), "id", "address", "plz", "ort")
+    by = {r.key: r["class"] for r in members.where(f"key IN (0, {n - 1}, {n}, {n + 1}, {n + 2})").collect()}
+    assert by[0] == by[n - 1] and by[n] != by[0] != by[n + 1] and n + 2 not in by
+    assert {frozenset((r.class_a, r.class_b)) for r in links.collect()} == {frozenset((by[0], by[n]))}

@@ -210,3 +210,11 @@ def test_decoding_holds_one_container():
     chosen = mainbody.decode(lines, boxes, np.array([2.0, -0.5, 3.0]), np.array([0.0, 1.0, 0.0]))
     assert chosen == [0]
     assert mainbody.decode(lines, boxes, np.array([-1.0, -1.0, -1.0]), np.zeros(3)) == []
+
+
+def test_hot_texts_are_one_spelling(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS doc_id", "'Café am See' AS text").unionByName(spark.createDataFrame([(n, "Café am See"), (n + 1, "Cafe am See"), (n + 2, " "), (n + 3, None)], "doc_id bigint, text string"))
+    members, links = lookalike.looks(df, "doc_id", "text")
+    assert members.count() == n + 1 and members.select("spelling").distinct().count() == 2 and links.count() == 1
+    assert lookalike.same_looking_pairs(df, "doc_id", "text").count() == n
