@@ -206,7 +206,16 @@ _BOX = "b AS (SELECT {0}, min(q.x) x0, min(q.y) y0, max(q.x) x1, max(q.y) y1 FRO
 _EDGES = "g AS (SELECT region_id, iso, unnest(rings) AS ring FROM boundaries), e AS (SELECT region_id, iso, ring[k] AS p, ring[k % len(ring) + 1] AS q FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS k FROM g))"
 _METRES = "2 * 6371000 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
 
+_FILES = "pdf|jpg|jpeg|png|gif|svg|webp|zip|rar|7z|doc|docx|xls|xlsx|ppt|pptx|mp3|mp4|avi|mov|exe"
+
 SQL = {
+    "site_link_table": f"""
+WITH a AS (SELECT url, regexp_replace(url, '^([A-Za-z]+)://([^/?#]*).*$', '\\1://\\2') AS root, {_PATH} AS p, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>')) AS a FROM site_pages),
+l AS (SELECT *, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS h, trim(regexp_replace(a, '<[^>]*>', '', 'g')) AS anchor FROM a),
+f AS (SELECT url, anchor, regexp_replace(CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(root, '^[A-Za-z]+:') || h WHEN starts_with(h, '/') THEN root || h
+  ELSE root || coalesce(nullif(regexp_replace(p, '[^/]*$', ''), ''), '/') || h END, '#.*$', '') AS href FROM l WHERE NOT starts_with(h, '#')),
+k AS (SELECT url, href, anchor, {_PATH.replace("(url,", "(href,")} AS hp FROM f WHERE {_HOST.format(u="href")} = {_HOST.format(u="url")} AND NOT regexp_matches(lower(href), 'download|install|os='))
+SELECT url, min(href) AS href, min(anchor) AS anchor FROM k WHERE NOT regexp_matches(lower(hp), '\\.({_FILES})$') GROUP BY url, hp""",
     "touched_tiles": f"""
 WITH {_BOX.format("iso")}, {_EDGES},
 t AS (SELECT *, unnest(range(0, greatest(1, ceil((y1 - y0) / 0.25::DOUBLE - 1e-9)::INT))) AS j FROM (SELECT *, unnest(range(0, greatest(1, ceil((x1 - x0) / 0.25::DOUBLE - 1e-9)::INT))) AS i FROM b)),
