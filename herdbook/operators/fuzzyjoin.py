@@ -2,59 +2,77 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdbook.functions.fuzzy import may_reach, token_sort_ratio
-from herdbook.runtime import salt_both
+from herdbook.functions.fuzzy import similar
+from herdbook.runtime import cut, parts
 
-GRAM = 3
+#: Texts, and their letters, that one task gets of each side at once.
+TILE_TEXTS = 40_000
+TILE_LETTERS = 3_000_000
+#: What parts words: the same characters as in Python's str.split().
+BLANKS = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _sorted(x: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(x, r"\s+"), lambda w: w != "")), " ")
-
-
-def _grams(x: Column) -> Column:
-    """The distinct character n-grams of a text (the text itself if it is shorter)."""
-    n = F.length(x) - (GRAM - 1)
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(x, i, F.lit(GRAM))))).otherwise(F.array(x))
+    return F.array_join(F.array_sort(F.filter(F.split(x, BLANKS), lambda w: w != "")), " ")
 
 
-def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, score=token_sort_ratio) -> DataFrame:
+def similar_texts(lt: DataFrame, rt: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """(_lt, _rt, score): all pairs of distinct texts (words sorted) with a ratio of at least `percent`.
 
-    Candidates share one of the rarest n-grams of each side, and no pair is lost: a letter left out breaks at most GRAM
-    n-grams, one put in GRAM - 1, and the ratio bounds both by the length, so at most `broken` of a text's n-grams are missing
-    in its partner and two prefixes of broken + 1 by rarity meet. Length and Levenshtein filters that lose no pair come before
-    the score, which runs in Arrow batches. Hot n-grams are salted from both sides.
-    """
-    grams = lt.select(F.col("_lt").alias("t")).unionByName(rt.select(F.col("_rt").alias("t"))).select(F.explode(_grams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    With `best`, rt also has a key `_rk`, and only (_lt, _rk, score) of each left text's best right text come out, ties to
+    the smaller key.
 
+    Texts are dealt to classes of length, so wide that texts that reach the ratio are at most one class apart. A class is cut
+    into tiles of bounded parts of either side, and a task compares the texts of a tile in memory (functions.fuzzy.similar).
+    So every pair of a possible length is tested once, no pair is lost, and only texts are shuffled, never candidates: each
+    goes to as many tiles as the other side has parts.
+    """
     r = percent / 100
-
-    def broken(t: str) -> Column:
-        # at the shortest partner letters are only left out, at the longest only put in; between them the sum is linear
-        out, in_ = F.floor(F.length(t) * (2 - 2 * r) / (2 - r) + 1e-9), F.floor(F.length(t) * (2 - 2 * r) / r + 1e-9)
-        return F.greatest(GRAM * out, (GRAM - 1) * in_).cast("int") + GRAM
-
-    def prefix(texts: DataFrame, t: str) -> DataFrame:
-        ranked = texts.select(t, F.explode(_grams(F.col(t))).alias("g")).join(grams, "g").groupBy(t).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-        return ranked.select(t, F.explode(F.slice("gs", F.lit(1), broken(t) + 1)).alias("x")).select(t, F.col("x.g").alias("g"))
-
-    # texts too short to keep an n-gram at that distance meet by length
-    short = lambda c: broken(c) >= F.length(c) - (GRAM - 1)
-    a, b = prefix(lt, "_lt"), prefix(rt, "_rt")
-    tiny = lambda d, c: d.where(short(c)).withColumn("g", F.explode(F.sequence((F.length(c) * r / (2 - r)).cast("int"), (F.length(c) * (2 - r) / r).cast("int") + 1))).withColumn("g", F.concat(F.lit("#"), F.col("g").cast("string")))
-    at = lambda d, c: d.where(short(c)).withColumn("g", F.concat(F.lit("#"), F.length(c).cast("string")))
-    a, b = a.unionByName(at(lt, "_lt")), b.unionByName(tiny(rt, "_rt"))
-    # only hashes and lengths are joined, and each pair is tested once
-    one = lambda d, c, i, n: d.select(F.xxhash64(c).alias(i), F.length(c).alias(n), "g")
-    x, y = salt_both(one(a, "_lt", "_li", "_ln"), one(b, "_rt", "_ri", "_rn"), ["g"], F.col("_li"), F.col("_ri"), 5_000)
-    near = F.abs(F.col("_ln") - F.col("_rn")) <= F.floor((F.col("_ln") + F.col("_rn")) * (100 - percent) / 100 + 1e-9)
-    met = x.join(y, ["g", "_salt"]).where(near).select("_li", "_ri").distinct()
-    pairs = met.join(lt.select(F.xxhash64("_lt").alias("_li"), "_lt"), "_li").join(rt.select(F.xxhash64("_rt").alias("_ri"), "_rt"), "_ri").where(may_reach(F.col("_lt"), F.col("_rt"), percent)).select("_lt", "_rt").distinct()
-    return pairs.withColumn("score", score(F.col("_lt"), F.col("_rt"))).where(F.col("score") >= percent)
+    step = math.log((2 - r) / r) + 1e-9
+    kind = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
+    lt, rt = cut(lt.select("_lt", kind("_lt").alias("_c"))), cut(rt.withColumn("_c", kind("_rt")))
+    key = dict(rt.dtypes)["_rk"] if best else "int"
+    of = lambda d, c: {x[0]: x[1:] for x in d.groupBy("_c").agg(F.count(F.lit(1)), F.sum(F.length(c))).collect()}
+    n_l, n_r = of(lt, "_lt"), of(rt, "_rt")  # a row for each class: as many as the longest text's logarithm
+    n_r = {c: [sum(x) for x in zip(*(n_r[k] for k in (c - 1, c, c + 1) if k in n_r))] for c in n_l if {c - 1, c, c + 1} & n_r.keys()}
+    out = f"_lt string, _rk {key}, score double" if best else "_lt string, _rt string, score double"
+    if not n_r:
+        return lt.sparkSession.createDataFrame([], out)
+    cuts = lambda n: max(parts(n[0], TILE_TEXTS), parts(n[1], TILE_LETTERS))
+    rows, tiles = [], 0
+    for c in sorted(n_r):
+        rows.append((c, cuts(n_l[c]), cuts(n_r[c]), tiles))
+        tiles += rows[-1][1] * rows[-1][2]
+    plan = F.broadcast(lt.sparkSession.createDataFrame(rows, "_c bigint, _pl int, _pr int, _first bigint"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = lt.join(plan, "_c").withColumn("_o", every("_pr")).select((F.col("_first") + own("_lt", "_pl") * F.col("_pr") + F.col("_o")).alias("_tile"), F.lit(True).alias("_left"), F.col("_lt").alias("_t"), F.lit(0).cast(key).alias("_k"))
+    near = rt.withColumn("_c", F.explode(F.array(*(F.col("_c") + d for d in (-1, 0, 1))))).join(plan, "_c").withColumn("_o", every("_pl"))
+    near = near.select((F.col("_first") + F.col("_o") * F.col("_pr") + own("_rt", "_pr")).alias("_tile"), F.lit(False).alias("_left"), F.col("_rt").alias("_t"), (F.col("_rk") if best else F.lit(0).cast(key)).alias("_k"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        a, b = d[d["_left"]], d[~d["_left"]]
+        x, y, k = a["_t"].to_numpy(object), b["_t"].to_numpy(object), b["_k"].to_numpy()
+        got = [(i, j, s) for i, j, s in (pick(i, k[j], j, s) if best else (i, j, s) for i, j, s in similar(list(x), list(y), percent)) if len(i)]
+        i, j, s = (np.concatenate(v) for v in zip(*got)) if got else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pd.DataFrame({"_lt": x[i], "_rk": k[j], "score": s} if best else {"_lt": x[i], "_rt": y[j], "score": s})
+
+    def pick(i: np.ndarray, k: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.lexsort((k, -s, i))
+        first = by[np.append(True, np.diff(i[by]) != 0)] if len(by) else by
+        return i[first], j[first], s[first]
+
+    found = l.unionByName(near).repartition(min(3 * tiles, 10_000), "_tile").groupBy("_tile").applyInPandas(run, out)
+    if not best:
+        return found
+    return found.groupBy("_lt").agg(F.max_by(F.struct("_rk", "score"), F.struct("score", -F.col("_rk"))).alias("w")).select("_lt", "w._rk", "w.score")
 
 
 def _sides(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str) -> tuple[DataFrame, DataFrame]:
@@ -74,10 +92,9 @@ def best_of_each(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     """(left_key, right_key, score): each left row's best right row, ties to the smaller key. Texts are compared once each, and
     of rows with one text only the first is a candidate, so frequent names don't multiply."""
     l, r = _sides(left, right, left_key, right_key, left_text, right_text)
-    first = r.groupBy("_rt").agg(F.min("_rk").alias("_rk"))
-    scored = similar_texts(l.select("_lt").distinct(), first.select("_rt"), percent).join(first, "_rt")
-    best = scored.groupBy("_lt").agg(F.max_by(F.struct("_rk", "score"), F.struct("score", -F.col("_rk"))).alias("w"))
-    return l.join(best, "_lt").select(F.col("_lk").alias(left_key), F.col("w._rk").alias(right_key), F.col("w.score").alias("score"))
+    first = cut(r.groupBy("_rt").agg(F.min("_rk").alias("_rk")))
+    best = similar_texts(l.select("_lt").distinct(), first, percent, best=True)
+    return l.join(best, "_lt").select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key), "score")
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int = 85) -> DataFrame:
@@ -98,7 +115,7 @@ def union_of_match(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key
 def without_closed(df: DataFrame, closed: DataFrame, key: str, closed_key: str, rules: list[tuple[str, str, int]]) -> DataFrame:
     """df without rows that resemble a closed one by any rule (text column, closed text column, percent)."""
     for mine, theirs, percent in rules:
-        hit = best_of_each(df, closed, key, closed_key, mine, theirs, percent).select(key)
+        hit = cut(best_of_each(df, closed, key, closed_key, mine, theirs, percent).select(key))
         df = df.join(hit, key, "left_anti")
     return df
 
