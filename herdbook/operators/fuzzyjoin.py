@@ -90,10 +90,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 
 def best_of_each(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str, percent: int) -> DataFrame:
     """(left_key, right_key, score): each left row's best right row, ties to the smaller key. Texts are compared once each, and
-    of rows with one text only the first is a candidate, so frequent names don't multiply."""
+    of rows with one text only the first is a candidate, so frequent names don't multiply. Texts that both sides have need no search."""
     l, r = _sides(left, right, left_key, right_key, left_text, right_text)
     first = cut(r.groupBy("_rt").agg(F.min("_rk").alias("_rk")))
-    best = similar_texts(l.select("_lt").distinct(), first, percent, best=True)
+    texts = cut(l.select("_lt").distinct().join(first, F.col("_lt") == F.col("_rt"), "left"))
+    same = texts.where("_rt IS NOT NULL").select("_lt", "_rk", F.lit(100.0).alias("score"))  # nothing is better
+    best = same.unionByName(similar_texts(texts.where("_rt IS NULL").select("_lt"), first, percent, best=True))
     return l.join(best, "_lt").select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key), "score")
 
 

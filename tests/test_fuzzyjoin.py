@@ -42,3 +42,28 @@ def test_rules_for_closed_rows_keep_plans_small(spark):
     hit = lambda x, y, p: bool(norm(x) and norm(y)) and fuzzy.indel_ratio(norm(x), norm(y)) >= p
     want = {k for k, n, a in rows if not any(hit(n, cn, 85) or hit(a, ca, 90) for _, cn, ca in closed)}
     assert {r.k for r in out.collect()} == want and 0 < len(want) < 200
+
+
+def best(names, others, percent):
+    norm = lambda t: " ".join(sorted(t.split()))
+    right = [norm(o) for o in others]
+    found = {}
+    for i, n in enumerate(names):
+        s, j = max((fuzzy.indel_ratio(norm(n), o), -j) for j, o in enumerate(right))
+        if s >= percent:
+            found[i] = -j, s
+    return found
+
+
+def test_best_match_shuffles_no_candidates(spark, monkeypatch):
+    rng = random.Random(7)
+    names, others = practices(rng, 600), practices(rng, 600)
+    others[::5] = [" ".join(reversed(n.split())) for n in names[::5]]
+    monkeypatch.setattr(fuzzyjoin, "TILE_TEXTS", 150)  # several tiles a class
+    left, right = spark.createDataFrame(list(enumerate(names)), "a bigint, x string"), spark.createDataFrame(list(enumerate(others)), "b bigint, y string")
+    before = shuffled(spark)
+    got = {r.a: (r.b, r.score) for r in fuzzyjoin.best_of_each(left, right, "a", "b", "x", "y", 90).collect()}
+    assert got == best(names, others, 90) and 120 <= len(got) < 600
+    assert shuffled(spark) - before < 30 * sum(map(len, names + others))
+    nbsp = spark.createDataFrame([(1, "rosenau praxis")], "a bigint, x string")
+    assert [tuple(r) for r in fuzzyjoin.best_of_each(nbsp, spark.createDataFrame([(2, "praxis rosenau")], "b bigint, y string"), "a", "b", "x", "y", 90).collect()] == [(1, 2, 100.0)]
