@@ -126,5 +126,6 @@ def exact_else_fuzzy(left: DataFrame, right: DataFrame, left_key: str, right_key
     """(left_key, right_key, score): the first right row with the same text, else the best of at least `percent`."""
     l = left.select(left_key, F.col(left_text).alias("_t"))
     exact = l.join(right.groupBy(F.col(right_text).alias("_t")).agg(F.min(right_key).alias(right_key)), "_t").select(left_key, right_key, F.lit(100.0).alias("score"))
+    exact = cut(exact)
     rest = left.join(exact.select(left_key), left_key, "left_anti")
     return exact.unionByName(best_of_each(rest, right, left_key, right_key, left_text, right_text, percent))

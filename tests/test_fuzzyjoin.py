@@ -67,3 +67,16 @@ def test_best_match_shuffles_no_candidates(spark, monkeypatch):
     assert shuffled(spark) - before < 30 * sum(map(len, names + others))
     nbsp = spark.createDataFrame([(1, "rosenau praxis")], "a bigint, x string")
     assert [tuple(r) for r in fuzzyjoin.best_of_each(nbsp, spark.createDataFrame([(2, "praxis rosenau")], "b bigint, y string"), "a", "b", "x", "y", 90).collect()] == [(1, 2, 100.0)]
+
+
+def test_exact_else_fuzzy_shuffles_no_candidates(spark):
+    rng = random.Random(9)
+    names, others = practices(rng, 600), practices(rng, 600)
+    others[::4] = names[::4]
+    left, right = spark.createDataFrame(list(enumerate(names)), "a bigint, x string"), spark.createDataFrame(list(enumerate(others)), "b bigint, y string")
+    before = shuffled(spark)
+    got = {r.a: (r.b, r.score) for r in fuzzyjoin.exact_else_fuzzy(left, right, "a", "b", "x", "y", 90).collect()}
+    first = {n: j for j, n in reversed(list(enumerate(others)))}
+    want = best(names, others, 90) | {i: (first[n], 100.0) for i, n in enumerate(names) if n in first}
+    assert got == want and 150 <= len(got) < 600
+    assert shuffled(spark) - before < 30 * sum(map(len, names + others))
