@@ -164,3 +164,18 @@ def test_stated_orders_need_no_rounds(spark, monkeypatch):
     both = run([spec, survivor.plain_field("name")])
     assert {k: v for k, v in both.items() if k[1] == "spec"} == stated and both[2, "name"] == (4, "w", False)
     assert len(both) == 4 and len(calls) > 2
+
+
+def test_hamming_search_is_the_same_in_crowded_places(spark, monkeypatch):
+    rng = random.Random(8)
+    name = lambda: rng.choice(["Tierarztpraxis", "Kleintierpraxis", "Tierklinik"]) + " " + "".join(rng.choice(["ros", "bel", "kel", "mir"]) for _ in range(2))
+    rows = [(i, name(), f"Seeweg {i % 50}, {8000 + i % 3} Ort{i % 3}", 47.0 + i % 3 / 10, 8.0, f"https://h{i % 20}.example/") for i in range(240)]
+    cols = "key bigint, name string, address string, latitude double, longitude double, website string"
+    a, b = (entities.Source(spark.createDataFrame(rows[k::2], cols), "key") for k in (0, 1))
+    made, real = [], entities._keys
+    monkeypatch.setattr(entities, "_keys", lambda *x: made.append(real(*x)) or made[-1])
+    run = lambda: {(r.key_a, r.key_b, round(r.score, 6), round(r.confidence, 6), r.match) for r in entities.match(a, b).collect()}
+    found = run()
+    assert all(k.count() <= 7 * 120 for k in made)  # a bucket for each place and host, not for each band
+    monkeypatch.setattr(entities, "CROWDED", 10)
+    assert found and run() == found and made[-1].count() > 7 * 120
